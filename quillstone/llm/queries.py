@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import audio, fingerprint, simhash, tokenfile
+from quillstone.llm import audio, fingerprint, langid, pieces, quality, simhash, tokenfile
 from quillstone.llm.common import documents
 
 
@@ -22,3 +22,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_media(documents(spark, sf_dir))
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir))

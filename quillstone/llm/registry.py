@@ -4,6 +4,9 @@ from quillstone.llm import queries as q
 
 QUERIES = {
     "op2_token_file": q.op2_token_file,
+    "op3_language_mixture": q.op3_language_mixture,
+    "op4_quality": q.op4_quality,
+    "op6_piece_codec": q.op6_piece_codec,
     "op7_paragraph_sketch": q.op7_paragraph_sketch,
     "op9_simhash": q.op9_simhash,
     "op10_telephony_audio": q.op10_telephony_audio,
