@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import audio, fingerprint, langid, pieces, quality, simhash, tokenfile
+from quillstone.llm import audio, fingerprint, langid, pieces, quality, simhash, tokenfile, url_tree
 from quillstone.llm.common import documents
 
 
@@ -34,3 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
+
+
+def op8_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))

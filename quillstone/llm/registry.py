@@ -1,6 +1,7 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
 from quillstone.llm import queries as q
+from quillstone.llm import url_tree
 
 QUERIES = {
     "op2_token_file": q.op2_token_file,
@@ -8,8 +9,11 @@ QUERIES = {
     "op4_quality": q.op4_quality,
     "op6_piece_codec": q.op6_piece_codec,
     "op7_paragraph_sketch": q.op7_paragraph_sketch,
+    "op8_url_tree": q.op8_url_tree,
     "op9_simhash": q.op9_simhash,
     "op10_telephony_audio": q.op10_telephony_audio,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_tree": url_tree.oracle(),
+}
