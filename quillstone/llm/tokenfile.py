@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,61 +22,141 @@ from pyspark.sql import types as T
 from quillstone.llm.common import partitions, shared_dir
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
-MEMO = 300_000
+MEMO = 600_000
+#: Bytes of text that a worker encodes at a time; a longer text goes alone.
+AT_ONCE = 10 << 20
+
+#: A space that does not begin a piece: white space comes after it, or comes
+#: before it at the end of the text.
+_WHITE = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
+_UNSPLIT = f" {_WHITE}|{_WHITE} $"
+
+_encoders: dict[str, "Encoder"] = {}
+
+
+def encoder(vocabulary: str) -> "Encoder":
+    """The worker's own encoder, kept between tasks."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 class Encoder:
     """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokeniser starts a new piece at every single space between
-    non-spaces, so such texts are encoded word by word and words are
-    remembered.  Texts with two spaces in a row are encoded as they are.
-    Strings of special tokens in a text are ordinary text.
+    Its pre-tokeniser starts a new piece at every space that no other white
+    space follows, so a text whose spaces are all like that is the sequence of
+    its words' ids.  Each different word of a batch is looked up or encoded once;
+    new words go to the library as one text and are told apart by the pieces
+    that begin with a space.  Other texts are encoded as they are.  Strings of
+    special tokens in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str, memo: int = MEMO):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.library = made = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        made.encode_special_tokens = True
+        space = made.encode(" ", add_special_tokens=False).tokens[0]
+        self.spaced = np.array([(made.id_to_token(i) or "").startswith(space) for i in range(made.get_vocab_size())])
+        self.memo: dict[str, bytes] = {}  # of a word after a space
+        self.first: dict[str, bytes] = {}  # of a word that begins a text
         self.most = memo
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words, fresh, memo = [], {}, self.memo
-        for text in texts:
-            if "  " in text:
-                fresh[text] = b""
-                words.append([text])
-                continue
-            first, *rest = text.split(" ")
-            own = [first, *[" " + w for w in rest]] if rest else [first]
-            words.append(own)
-            for w in set(own).difference(memo):
-                fresh[w] = b""
-        missing = list(fresh)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            fresh.update(zip(part, self._whole(part)))
-        out = []
-        for own in words:
-            try:
-                out.append(b"".join(map(memo.__getitem__, own)))
-            except KeyError:
-                out.append(b"".join([memo[w] if w in memo else fresh[w] for w in own]))
-        for w, ids in fresh.items():
-            if len(memo) >= self.most:
-                break
-            if len(w) <= 40:
-                memo[w] = ids
+    def whole(self, text: str) -> bytes:
+        (made,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, dtype="<u4").tobytes()
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        memo = self.memo
+        out = list(map(memo.get, words))
+        where = [k for k, ids in enumerate(out) if ids is None]
+        if not where:
+            return out
+        missing = [words[k] for k in where]
+        ids = np.frombuffer(self.whole(" " + " ".join(missing)), dtype="<u4")
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) != len(missing):  # a vocabulary that does not split at spaces
+            fresh = [self.whole(" " + w) for w in missing]
+        else:
+            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            fresh = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        for k, found in zip(where, fresh):
+            out[k] = found
+        room = self.most - len(memo)
+        if room > 0:
+            memo.update(zip(missing[:room], fresh))
         return out
 
+    def _starting(self, words: list[str]) -> list[bytes]:
+        out, memo = [], self.first
+        for w in words:
+            ids = memo.get(w)
+            if ids is None:
+                ids = self.whole(w)
+                if len(memo) < self.most // 10 and len(w) <= 40:
+                    memo[w] = ids
+            out.append(ids)
+        return out
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has; each text
+        ends with ``end_id``."""
+        n = len(texts)
+        apart = np.flatnonzero(pc.match_substring_regex(texts, _UNSPLIT).to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(texts, " ")
+        if len(apart):  # as one "word" each, which is told apart from the others
+            kept = lists.to_pylist()
+            for i in apart:
+                kept[i] = [""]
+            lists = pa.array(kept, pa.list_(pa.string()))
+        cuts = lists.offsets.to_numpy()
+        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
+        cuts = cuts - cuts[0]
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        starts = [words[k] for k in at[cuts[:-1]].tolist()]
+        later = np.ones(len(at), bool)
+        later[cuts[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[at[later]] = True
+        ids = [b""] * len(words)
+        which = np.flatnonzero(used).tolist()
+        for k, found in zip(which, self._after_space([words[k] for k in which])):
+            ids[k] = found
+        heads = self._starting(starts)
+        for i in apart.tolist():
+            heads[i] = self.whole(texts[i].as_py())
+        at[cuts[:-1]] = len(words) + np.arange(n)
+        at = np.insert(at, cuts[1:], len(words) + n)
+        table = [*ids, *heads, np.array([end_id], dtype="<u4").tobytes()]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        pool = np.frombuffer(b"".join(table), dtype="<u4")
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        ends = np.cumsum(each)
+        take = np.repeat(begins[at] - (ends - each), each)
+        take += np.arange(len(take))
+        rows = cuts[1:] + np.arange(1, n + 1)  # a text's end in ``at``
+        totals = np.diff(np.concatenate([[0], ends[rows - 1]]))
+        return pool[take], totals
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most about ``most`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """``doc_id, row_start, n_tokens, ids`` in the order of the input partitions.
@@ -83,22 +164,18 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     ``row_start`` counts the ids before the row in its partition.  A null text
     counts as empty; every row ends with ``end_id``.
     """
-    tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(vocabulary), 0
+        code, before = encoder(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [x + tail for x in encoder([t or "" for t in part.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in rows], dtype=np.int64)
+            for part in slices(batch, 1):
+                flat, sizes = code(pc.fill_null(part.column(1), ""), end_id)
                 ends = np.cumsum(sizes)
-                flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 starts = before + ends - sizes
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat)],
+                    [part.column(0), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat.view("<i4")))],
                     ["doc_id", "row_start", "n_tokens", "ids"],
                 )
 
