@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import audio, fingerprint, langid, pieces, quality, simhash, tokenfile, url_tree
+from quillstone.llm import audio, fingerprint, langid, pareto, pieces, quality, simhash, tokenfile, url_tree
 from quillstone.llm.common import documents
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto.mix(documents(spark, sf_dir))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir))
 

@@ -1,9 +1,10 @@
 """The training-data queries and, where SQL can express one, its SQL."""
 
 from quillstone.llm import queries as q
-from quillstone.llm import url_tree
+from quillstone.llm import pareto, url_tree
 
 QUERIES = {
+    "op1_pareto_mix": q.op1_pareto_mix,
     "op2_token_file": q.op2_token_file,
     "op3_language_mixture": q.op3_language_mixture,
     "op4_quality": q.op4_quality,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pareto_mix": pareto.oracle(),
     "op8_url_tree": url_tree.oracle(),
 }
