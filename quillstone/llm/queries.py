@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import audio, fingerprint, langid, pareto, pieces, quality, simhash, tokenfile, url_tree
+from quillstone.llm import audio, fingerprint, langid, pareto, pieces, pii, quality, simhash, tokenfile, url_tree
 from quillstone.llm.common import documents
 
 
@@ -42,3 +42,7 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_tree.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))

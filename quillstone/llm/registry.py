@@ -8,6 +8,7 @@ QUERIES = {
     "op2_token_file": q.op2_token_file,
     "op3_language_mixture": q.op3_language_mixture,
     "op4_quality": q.op4_quality,
+    "op5_boosted_pii": q.op5_boosted_pii,
     "op6_piece_codec": q.op6_piece_codec,
     "op7_paragraph_sketch": q.op7_paragraph_sketch,
     "op8_url_tree": q.op8_url_tree,
