@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from quillstone.llm.common import partitions, shared_dir
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
-MEMO = 600_000
+MEMO = 300_000
+#: New words that the library encodes as one text.
+TOGETHER = 10_000
 #: Bytes of text that a worker encodes at a time; a longer text goes alone.
-AT_ONCE = 10 << 20
+AT_ONCE = 5 << 20
 
 #: A space that does not begin a piece: white space comes after it, or comes
 #: before it at the end of the text.
@@ -71,26 +73,28 @@ class Encoder:
         (made,) = self.library.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype="<u4").tobytes()
 
-    def _after_space(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it."""
+    def _after_space(self, words: list[str], often: list[int]) -> list[bytes]:
+        """The ids of each word with a space before it; of words that come
+        twice or more the worker keeps them."""
         memo = self.memo
         out = list(map(memo.get, words))
         where = [k for k, ids in enumerate(out) if ids is None]
         if not where:
             return out
-        missing = [words[k] for k in where]
-        ids = np.frombuffer(self.whole(" " + " ".join(missing)), dtype="<u4")
-        cuts = np.flatnonzero(self.spaced[ids])
-        if len(cuts) != len(missing):  # a vocabulary that does not split at spaces
-            fresh = [self.whole(" " + w) for w in missing]
-        else:
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-            fresh = [raw[a:b] for a, b in zip(ends, ends[1:])]
-        for k, found in zip(where, fresh):
-            out[k] = found
-        room = self.most - len(memo)
-        if room > 0:
-            memo.update(zip(missing[:room], fresh))
+        for at in range(0, len(where), TOGETHER):
+            part = where[at : at + TOGETHER]
+            missing = [words[k] for k in part]
+            ids = np.frombuffer(self.whole(" " + " ".join(missing)), dtype="<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) != len(missing):  # a vocabulary that does not split at spaces
+                fresh = [self.whole(" " + w) for w in missing]
+            else:
+                raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+                fresh = [raw[a:b] for a, b in zip(ends, ends[1:])]
+            for k, word, found in zip(part, missing, fresh):
+                out[k] = found
+                if often[k] > 1 and len(memo) < self.most:
+                    memo[word] = found
         return out
 
     def _starting(self, words: list[str]) -> list[bytes]:
@@ -123,12 +127,8 @@ class Encoder:
         starts = [words[k] for k in at[cuts[:-1]].tolist()]
         later = np.ones(len(at), bool)
         later[cuts[:-1]] = False
-        used = np.zeros(len(words), bool)
-        used[at[later]] = True
-        ids = [b""] * len(words)
-        which = np.flatnonzero(used).tolist()
-        for k, found in zip(which, self._after_space([words[k] for k in which])):
-            ids[k] = found
+        often = np.bincount(at[later], minlength=len(words))
+        ids = self._after_space(words, often.tolist())
         heads = self._starting(starts)
         for i in apart.tolist():
             heads[i] = self.whole(texts[i].as_py())
@@ -140,8 +140,8 @@ class Encoder:
         begins = np.cumsum(sizes) - sizes
         each = sizes[at]
         ends = np.cumsum(each)
-        take = np.repeat(begins[at] - (ends - each), each)
-        take += np.arange(len(take))
+        take = np.repeat((begins[at] - (ends - each)).astype(np.int32), each)
+        take += np.arange(len(take), dtype=np.int32)
         rows = cuts[1:] + np.arange(1, n + 1)  # a text's end in ``at``
         totals = np.diff(np.concatenate([[0], ends[rows - 1]]))
         return pool[take], totals
@@ -188,11 +188,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     Documents are in ascending doc_id order over the files in name order;
     null ids come first, repeated ids in order of their texts.
     """
-    n = n or partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = n or partitions(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "2000")  # long texts: smaller batches in both processes
+    try:
+        _save(encode(ordered, vocabulary, end_id), path, stripe_bytes)
+    finally:
+        spark.conf.set(_BATCH, rows)
+
+
+def _save(rows: DataFrame, path: str, stripe_bytes: int) -> None:
     (
-        encode(ordered, vocabulary, end_id)
-        .write.format("orc")
+        rows.write.format("orc")
         .option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.create.index", "true")
@@ -203,6 +212,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     )
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def file_schema(id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
