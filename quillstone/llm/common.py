@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/quillstone"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that a worker handles at a time; a longer text goes alone.
+AT_ONCE = 5 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -64,3 +72,14 @@ def bucket_of(key: Column, bounds: list) -> Column:
         return F.lit(0)
     cuts = F.array(*[F.lit(b) for b in bounds])
     return F.size(F.filter(cuts, lambda b: b <= key))
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most about ``most`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -14,19 +14,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.llm.common import slices
+
 MARK = "▁"  # stands for a space
 _LITERAL = "\ud800"  # a MARK that is part of a text; no valid text has this
 #: Chunks whose ids a worker remembers; what does not fit is searched anew.
-MEMO = 300_000
+MEMO = 800_000
 #: What a character without a piece costs, below the lowest score.
 UNKNOWN_BELOW = 10.0
 
@@ -90,26 +94,25 @@ class StreamingViterbi:
         return self._commit() if len(self.text) >= 2 * self.v.longest else []
 
     def finish(self) -> list[int]:
+        """The ids of what is left; the search is over."""
         self._advance(len(self.text))
-        ids = self._path(len(self.text))
-        self.__init__(self.v)
-        return ids
+        return self._path(len(self.text))
 
     def _advance(self, until: int) -> None:
-        pieces, text, score, back, n = self.v.pieces, self.text, self.score, self.back, len(self.text)
+        look, text, score, back, n = self.v.pieces.get, self.text, self.score, self.back, len(self.text)
         for s in range(self.done, until):
             base, alone = score[s], True
-            for e in range(s + 1, min(n, s + self.v.longest) + 1):
-                word = text[s:e]
-                if word not in pieces:
+            for e in range(s + 1, n + 1):
+                found = look(text[s:e], 0)
+                if not found:
+                    if found is None:  # the start of a piece
+                        continue
                     break
-                found = pieces[word]
-                if found is not None:
-                    if e == s + 1:
-                        alone = False
-                    at = base + found[1]
-                    if at > score[e]:
-                        score[e], back[e] = at, (s, found[0])
+                if e == s + 1:
+                    alone = False
+                at = base + found[1]
+                if at > score[e]:
+                    score[e], back[e] = at, (s, found[0])
             if alone and base + self.v.unknown > score[s + 1]:
                 score[s + 1], back[s + 1] = base + self.v.unknown, (s, -1)
         self.done = max(self.done, until)
@@ -132,12 +135,16 @@ class StreamingViterbi:
         return ids
 
     def _path(self, end: int) -> list[int]:
-        parts = []
+        ids, back = [], self.back
         while end:
-            start, piece = self.back[end]
-            parts.append(self.v.fallback(self.text[start]) if piece < 0 else [piece])
+            start, piece = back[end]
+            if piece < 0:
+                ids.extend(reversed(self.v.fallback(self.text[start])))
+            else:
+                ids.append(piece)
             end = start
-        return [i for part in reversed(parts) for i in part]
+        ids.reverse()
+        return ids
 
 
 def stream_encode(v: Vocabulary, parts: Iterable[str]) -> Iterator[int]:
@@ -149,53 +156,71 @@ def stream_encode(v: Vocabulary, parts: Iterable[str]) -> Iterator[int]:
     yield from search.finish()
 
 
+_codecs: dict[str, "Codec"] = {}
+
+
+def codec(model: str) -> "Codec":
+    """The worker's own codec, kept between tasks."""
+    if model not in _codecs:
+        _codecs[model] = Codec(model)
+    return _codecs[model]
+
+
 class Codec:
     def __init__(self, model: str = "piece_bpe_32k.model", memo: int = MEMO):
         self.v = Vocabulary(model)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of a word after one space mark
         self.most = memo
 
     def _chunk(self, chunk: str) -> bytes:
-        return np.fromiter(stream_encode(self.v, [chunk]), dtype="<u4").tobytes()
+        if len(chunk) > 4 * self.v.longest:
+            return np.fromiter(stream_encode(self.v, [chunk]), dtype="<u4").tobytes()
+        search = StreamingViterbi(self.v)
+        ids = search.feed(chunk) + search.finish()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for an empty text."""
         if not text:
             return b""
-        if MARK in text:
-            text = text.replace(MARK, _LITERAL)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            chunks = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
-        else:
-            chunks = [MARK + w for w in text.split(" ")]
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        out = []
-        for c in chunks:
-            ids = memo.get(c)
+        text = MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)
+        return b"".join(map(self._chunk, re.findall(f"{MARK}+[^{MARK}]*", text)))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has.
+
+        Each different word of the batch is looked up or searched once; texts
+        with other than single spaces between words are encoded alone.
+        """
+        apart = pc.match_substring_regex(texts, f"^$|  |^ | $|{MARK}")
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist()
+        lists = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        cuts = lists.offsets.to_numpy()
+        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
+        cuts = (cuts - cuts[0]).astype(np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, memo = coded.dictionary.to_pylist(), self.memo
+        table = list(map(memo.get, words))
+        for k, ids in enumerate(table):
             if ids is None:
-                ids = self._chunk(c)
-                if len(memo) < self.most and len(c) <= 40:
-                    memo[c] = ids
-            out.append(ids)
-        return b"".join(out)
+                table[k] = ids = self._chunk(MARK + words[k])
+                if len(memo) < self.most and len(words[k]) <= 40:
+                    memo[words[k]] = ids
+        at[cuts[alone]] = len(words) + np.arange(len(alone))
+        table += [self.encode(texts[i].as_py()) for i in alone]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        pool = np.frombuffer(b"".join(table), dtype="<u4")
+        each = sizes[at]
+        ends = np.cumsum(each)
+        take = np.repeat(((np.cumsum(sizes) - sizes)[at] - (ends - each)).astype(np.int32), each)
+        take += np.arange(len(take), dtype=np.int32)
+        return pool[take], np.diff(np.concatenate([[0], ends[cuts[1:] - 1]]))
 
     def decode(self, ids: Iterable[int]) -> str:
         data = b"".join(map(self.v.bytes_of.__getitem__, ids))
         return data.removeprefix(b" ").decode("utf-8", "surrogatepass")
 
 
-def _arrow_ids(rows: list[bytes | None]) -> pa.Array:
-    sizes = [len(x or b"") // 4 for x in rows]
-    flat = pa.array(np.frombuffer(b"".join(x or b"" for x in rows), dtype="<i4"))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    mask = pa.array([x is None for x in rows])
-    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
-
-
 def encode_column(docs: DataFrame, text: str = "text", out: str = "piece_ids", model: str = "piece_bpe_32k.model") -> DataFrame:
     """``docs`` with ``out``, the ids of ``text``; null texts give null, empty
     ones an empty list.  All other columns and rows stay as they are; a column
@@ -205,12 +230,13 @@ def encode_column(docs: DataFrame, text: str = "text", out: str = "piece_ids", m
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        own = codec(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [None if t is None else codec.encode(t) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, _arrow_ids(rows)], [*names, out])
+            for part in slices(batch, at):
+                flat, sizes = own.encode_batch(pc.fill_null(part.column(at), ""))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(flat.view("<i4")), mask=pc.is_null(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, out])
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -222,9 +248,9 @@ def decode_column(df: DataFrame, ids: str = "piece_ids", out: str = "decoded", m
     schema = T.StructType([*df.select(*names).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        own = codec(model)
         for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else own.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     return df.select(*names).mapInArrow(run, schema)
@@ -239,19 +265,22 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        own = codec(model)
         names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "exact"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        kinds = [pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                ids = codec.encode(text)
-                back = codec.decode(np.frombuffer(ids, "<u4").tolist())
-                sha = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((len(ids) // 4, zlib.crc32(ids), sha, back == text))
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
+            for part in slices(batch, 1):
+                texts = pc.fill_null(part.column(1), "")
+                flat, sizes = own.encode_batch(texts)
+                out, at = [], 0
+                for text, size in zip(texts.to_pylist(), sizes.tolist()):
+                    ids = flat[at : at + size]
+                    at += size
+                    back = own.decode(ids.tolist())
+                    sha = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((zlib.crc32(ids), sha, back == text))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names)
 
     schema = T.StructType(
         [

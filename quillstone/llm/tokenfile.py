@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import partitions, shared_dir
+from quillstone.llm.common import partitions, shared_dir, slices
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
 MEMO = 300_000
 #: New words that the library encodes as one text.
 TOGETHER = 10_000
-#: Bytes of text that a worker encodes at a time; a longer text goes alone.
-AT_ONCE = 5 << 20
 
 #: A space that does not begin a piece: white space comes after it, or comes
 #: before it at the end of the text.
@@ -112,13 +110,9 @@ class Encoder:
         """All ids one after the other, and how many each text has; each text
         ends with ``end_id``."""
         n = len(texts)
-        apart = np.flatnonzero(pc.match_substring_regex(texts, _UNSPLIT).to_numpy(zero_copy_only=False))
-        lists = pc.split_pattern(texts, " ")
-        if len(apart):  # as one "word" each, which is told apart from the others
-            kept = lists.to_pylist()
-            for i in apart:
-                kept[i] = [""]
-            lists = pa.array(kept, pa.list_(pa.string()))
+        unsplit = pc.match_substring_regex(texts, _UNSPLIT)
+        apart = np.flatnonzero(unsplit.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(pc.if_else(unsplit, "", texts), " ")
         cuts = lists.offsets.to_numpy()
         coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
         cuts = cuts - cuts[0]
@@ -147,17 +141,6 @@ class Encoder:
         return pool[take], totals
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most about ``most`` bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """``doc_id, row_start, n_tokens, ids`` in the order of the input partitions.
 
