@@ -22,14 +22,22 @@ from pyspark.sql import types as T
 from quillstone.llm.common import partitions, shared_dir, slices
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
-MEMO = 300_000
+MEMO = 500_000
 #: New words that the library encodes as one text.
 TOGETHER = 10_000
 
 #: A space that does not begin a piece: white space comes after it, or comes
 #: before it at the end of the text.
 _WHITE = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
-_UNSPLIT = f" {_WHITE}|{_WHITE} $"
+_UNSPLIT = f" {_WHITE}|{_WHITE} $|[\\x02\\x03]"
+
+#: The pre-tokeniser also cuts between a letter and marks after it, and at a
+#: line break between lines.  There chunks end too: \\x02 begins one of marks,
+#: \\x03 a word that begins a line.  Only letters whose kind no Unicode version
+#: disputes count; an apostrophe may join what follows it.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[!-&(-/:-@\\[-`{-~]"
+_AT_LINES = f"({_LETTER})({_MARK}*\n)({_LETTER})", "\\1 \x02\\2 \x03\\3"
+_AT_MARKS = f"({_LETTER})({_MARK}+) ", "\\1 \x02\\2 "
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -63,36 +71,52 @@ class Encoder:
         made.encode_special_tokens = True
         space = made.encode(" ", add_special_tokens=False).tokens[0]
         self.spaced = np.array([(made.id_to_token(i) or "").startswith(space) for i in range(made.get_vocab_size())])
-        self.memo: dict[str, bytes] = {}  # of a word after a space
+        self.memo: dict[str, bytes] = {}  # of a chunk
         self.first: dict[str, bytes] = {}  # of a word that begins a text
+        self.line = int(np.frombuffer(self.whole("\n"), dtype="<u4")[0])
         self.most = memo
 
     def whole(self, text: str) -> bytes:
         (made,) = self.library.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype="<u4").tobytes()
 
-    def _after_space(self, words: list[str], often: list[int]) -> list[bytes]:
-        """The ids of each word with a space before it; of words that come
-        twice or more the worker keeps them."""
+    def _together(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of each word after ``lead``, a space or a line break, which
+        begins a piece of its own before it; without those of a line break."""
+        out: list[bytes] = []
+        skip = 0 if lead == " " else 4
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.frombuffer(self.whole(lead + lead.join(part)), dtype="<u4")
+            cuts = np.flatnonzero(self.spaced[ids] if lead == " " else ids == self.line)
+            if len(cuts) != len(part):  # a vocabulary that does not split there
+                out += [self.whole(" " + w if lead == " " else w) for w in part]
+                continue
+            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            out += [raw[a + skip : b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """The ids of each chunk: marks, a word at a line's start, or a word
+        after a space."""
         memo = self.memo
         out = list(map(memo.get, words))
         where = [k for k, ids in enumerate(out) if ids is None]
-        if not where:
-            return out
-        for at in range(0, len(where), TOGETHER):
-            part = where[at : at + TOGETHER]
-            missing = [words[k] for k in part]
-            ids = np.frombuffer(self.whole(" " + " ".join(missing)), dtype="<u4")
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) != len(missing):  # a vocabulary that does not split at spaces
-                fresh = [self.whole(" " + w) for w in missing]
+        spaced, lined = [], []
+        for k in where:
+            w = words[k]
+            if w[:1] == "\x02" or (w[:1] == "\x03" and "\n" in w):
+                out[k] = self.whole(w[1:])
+            elif w[:1] == "\x03":
+                lined.append(k)
             else:
-                raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-                fresh = [raw[a:b] for a, b in zip(ends, ends[1:])]
-            for k, word, found in zip(part, missing, fresh):
-                out[k] = found
-                if often[k] > 1 and len(memo) < self.most:
-                    memo[word] = found
+                spaced.append(k)
+        for k, ids in zip(spaced, self._together([words[k] for k in spaced], " ")):
+            out[k] = ids
+        for k, ids in zip(lined, self._together([words[k][1:] for k in lined], "\n")):
+            out[k] = ids
+        if len(memo) < self.most:
+            memo.update((words[k], out[k]) for k in where if len(words[k]) <= 40)
         return out
 
     def _starting(self, words: list[str]) -> list[bytes]:
@@ -101,7 +125,7 @@ class Encoder:
             ids = memo.get(w)
             if ids is None:
                 ids = self.whole(w)
-                if len(memo) < self.most // 10 and len(w) <= 40:
+                if len(memo) < self.most // 4 and len(w) <= 40:
                     memo[w] = ids
             out.append(ids)
         return out
@@ -112,7 +136,8 @@ class Encoder:
         n = len(texts)
         unsplit = pc.match_substring_regex(texts, _UNSPLIT)
         apart = np.flatnonzero(unsplit.to_numpy(zero_copy_only=False))
-        lists = pc.split_pattern(pc.if_else(unsplit, "", texts), " ")
+        marked = pc.replace_substring_regex(pc.if_else(unsplit, "", texts), *_AT_LINES)
+        lists = pc.split_pattern(pc.replace_substring_regex(marked, *_AT_MARKS), " ")
         cuts = lists.offsets.to_numpy()
         coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
         cuts = cuts - cuts[0]
@@ -121,8 +146,11 @@ class Encoder:
         starts = [words[k] for k in at[cuts[:-1]].tolist()]
         later = np.ones(len(at), bool)
         later[cuts[:-1]] = False
-        often = np.bincount(at[later], minlength=len(words))
-        ids = self._after_space(words, often.tolist())
+        later = np.bincount(at[later], minlength=len(words)) > 0
+        which = np.flatnonzero(later).tolist()
+        ids = [b""] * len(words)
+        for k, found in zip(which, self._coded([words[k] for k in which])):
+            ids[k] = found
         heads = self._starting(starts)
         for i in apart.tolist():
             heads[i] = self.whole(texts[i].as_py())
