@@ -23,6 +23,7 @@ from quillstone.llm.common import WORD, materialize
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SLOTS = 256
+SALTS = 16
 SEED = 7
 
 
@@ -61,29 +62,42 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> Dat
     return each.select("source", "source_size", target.alias("target"))
 
 
-def allocate(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, size, importance`` rows with ``source_size``,
-    ``target`` and ``copies``.
+def _joined(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` with what ``per`` has for their ``key``.  Each key's row is
+    repeated for every salt, so a hot source's rows meet in many tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return salted.join(per.withColumn("_salt", salts), ["key", "_salt"]).drop("_salt")
 
-    A document expects its source's rate times its importance relative to the
-    source's mean by words, at most ``cap`` copies.  Rows are read a few times:
-    give a written table.
+
+def _ranked(rows: DataFrame, per: DataFrame, cap: float, seed: int) -> DataFrame:
+    """``rows`` with the certain copies, the odds and the slot of the odds.
+
+    A document expects its source's rate times its importance, at most ``cap``
+    copies; the odds are null where no part of a copy remains.
     """
-    goal = targets(rows, weights, cap)
-    means = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("importance")).alias("mass"), F.sum("size").alias("own"))
-    key = key_of(F.col("source"))
-    per = goal.join(means, goal["source"].eqNullSafe(means["source"])).select(
-        key_of(goal["source"]).alias("key"), "source_size", "target", F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)).alias("rate")
-    )
-    expected = F.least(F.lit(float(cap)), F.col("rate") * F.col("importance"))
     drawn = uniform(F.col("doc_id"), seed)
-    each = rows.withColumn("key", key).join(per, "key").withColumn("expected", expected).withColumn("sure", F.floor("expected"))
+    each = _joined(rows.withColumn("key", key_of(F.col("source"))), per)
+    each = each.withColumn("expected", F.least(F.lit(float(cap)), F.col("rate") * F.col("importance")))
+    each = each.withColumn("sure", F.floor("expected"))
     chance = F.col("expected") - F.col("sure")
-    odds = F.when(chance > 0, (drawn / (1 - drawn)) / (chance / (1 - chance)))
+    each = each.withColumn("odds", F.when(chance > 0, (drawn / (1 - drawn)) / (chance / (1 - chance))))
     slot = F.floor(F.col("odds") / (1 + F.col("odds")) * float(SLOTS * SLOTS)).cast("long")
-    each = each.withColumn("odds", odds).withColumn("slot", F.least(slot, F.lit(SLOTS * SLOTS - 1)))
-    each = each.select("doc_id", "source", "key", "size", "source_size", "target", "sure", "odds", "slot")
-    each = materialize(each, "ranked")
+    return each.withColumn("slot", F.least(slot, F.lit(SLOTS * SLOTS - 1)))
+
+
+def plan(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """One row a source: its target, its rate and where its sample ends.
+
+    ``rows`` has ``doc_id, source, size, importance`` and is read a few times:
+    give a written table.
+    """
+    goal = targets(rows, weights, cap)
+    mass = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("importance")).alias("mass"))
+    rate = F.coalesce(F.try_divide("target", "mass"), F.lit(0.0)).alias("rate")
+    per = goal.join(mass, goal["source"].eqNullSafe(mass["source"])).select(key_of(goal["source"]).alias("key"), "source_size", "target", rate)
+    per = materialize(per, "rates")
+    each = materialize(_ranked(rows, per, cap, seed).select("doc_id", "key", "size", "target", "sure", "odds", "slot"), "ranked")
 
     sure = each.groupBy("key").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("rest"))
     running = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,28 +108,32 @@ def allocate(rows: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed:
         first = reached.groupBy("key").agg(F.min(F.struct("part", (F.col("before") + F.col("sum") - F.col("size")).alias("before"), "rest")).alias("m"))
         return first.select("key", "m.part", "m.before", "m.rest")
 
-    open_rows = each.filter(F.col("slot").isNotNull())
+    open_rows = each.filter(F.col("slot").isNotNull()).select("doc_id", "key", "size", "odds", "slot")
     coarse = open_rows.groupBy("key", F.floor(F.col("slot") / SLOTS).alias("part")).agg(F.sum("size").alias("size"))
-    first = ending(coarse, sure.withColumn("before", F.lit(0)))
-    within = open_rows.join(first.select("key", F.col("part").alias("coarse")), "key").filter(F.floor(F.col("slot") / SLOTS) == F.col("coarse"))
+    first = materialize(ending(coarse, sure.withColumn("before", F.lit(0))), "coarse")
+    within = _joined(open_rows, first.select("key", F.col("part").alias("coarse"))).filter(F.floor(F.col("slot") / SLOTS) == F.col("coarse"))
     fine = within.groupBy("key", F.col("slot").alias("part")).agg(F.sum("size").alias("size"))
-    last = ending(fine, first.select("key", "before", "rest"))
-    last = materialize(last.withColumnRenamed("part", "end_slot"), "ends")
+    last = materialize(ending(fine, first.select("key", "before", "rest")).withColumnRenamed("part", "end_slot"), "ends")
 
     order = Window.partitionBy("key").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    ends = open_rows.join(last, "key").filter(F.col("slot") == F.col("end_slot"))
+    ends = _joined(open_rows, last).filter(F.col("slot") == F.col("end_slot"))
     middle = F.col("before") + F.sum("size").over(order) - F.col("size") / 2
     taken = ends.withColumn("middle", middle).filter(F.col("middle") <= F.col("rest"))
     limit = taken.groupBy("key").agg(F.max(F.struct("odds", "doc_id", "size")).alias("limit"))
-    # without an end the whole ranking is taken; without a limit nothing of the end slot is
-    ends_of = sure.select("key").join(last.select("key", "end_slot"), "key", "left").join(limit, "key", "left")
-    chosen = F.col("slot").isNotNull() & (
-        F.col("end_slot").isNull()
-        | (F.col("slot") < F.col("end_slot"))
-        | ((F.col("slot") == F.col("end_slot")) & F.coalesce(F.struct("odds", "doc_id", "size") <= F.col("limit"), F.lit(False)))
-    )
-    out = each.join(ends_of, "key").withColumn("copies", F.col("sure") + chosen.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+    whole = per.join(last.select("key", "end_slot"), "key", "left").join(limit, "key", "left")
+    return materialize(whole, "plan")
+
+
+def with_copies(rows: DataFrame, planned: DataFrame, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """``rows``, with ``size`` and ``importance``, and their ``copies``.
+
+    Without an end slot a source's whole ranking is taken; without a limit
+    nothing of its end slot is.
+    """
+    each = _ranked(rows, planned, cap, seed)
+    within = F.coalesce(F.struct("odds", "doc_id", "size") <= F.col("limit"), F.lit(False))
+    chosen = F.col("end_slot").isNull() | (F.col("slot") < F.col("end_slot")) | ((F.col("slot") == F.col("end_slot")) & within)
+    return each.withColumn("copies", F.col("sure") + (F.col("slot").isNotNull() & chosen).cast("long"))
 
 
 def key_of(source: Column) -> Column:
@@ -123,9 +141,9 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def sized(docs: DataFrame, importance: str | None = None) -> DataFrame:
+def sized(docs: DataFrame, importance: str | None = None, *more: Column) -> DataFrame:
     weight = F.lit(1.0) if importance is None else F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("importance"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("importance"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, importance: str | None = None) -> DataFrame:
@@ -135,31 +153,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int =
     read but for ``importance``, which if given makes documents of a source
     likelier in proportion (null or negative: never beyond certain copies).  A
     null text has size 0; null sources are one source.  Reruns agree: the
-    random numbers come from doc_ids, so repeated ids rank alike, and repeated
-    rows may be taken in unequal copies.  A source without words has target 0.
+    random numbers come from doc_ids, so repeated rows are taken alike.  A source without words has target 0.
     An empty table gives an empty result.
     """
     rows = materialize(sized(docs, importance), "sizes")
-    out = allocate(rows, weights, cap, seed)
+    out = with_copies(rows, plan(rows, weights, cap, seed), cap, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def take(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED, importance: str | None = None) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, as often as they are taken.
 
-    Rows without words have no size to mix by and are all left out.
+    Texts are not shuffled: each row decides from its source's row of the plan.
     """
-    plan = mix(docs, weights, cap, seed, importance)
-    # identical (doc_id, source, size) rows are told apart by their number
-    copies = plan.filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    copies = copies.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    rows = docs.withColumn("_n", word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "source", "_n").orderBy("text")
-    rows = rows.withColumn("_k", F.row_number().over(order))
-    on = rows["doc_id"].eqNullSafe(copies["_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["_n"] == copies["_size"])
-    joined = rows.join(copies, on).withColumn("_times", F.coalesce(F.get("_copies", F.col("_k") - 1), F.lit(0)))
-    joined = joined.filter(F.col("_times") > 0).withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+    planned = plan(materialize(sized(docs, importance), "sizes"), weights, cap, seed)
+    kept = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    found = with_copies(sized(docs, importance, kept), planned, cap, seed)
+    found = found.filter(F.col("copies") > 0).withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return found.select("row.*")
 
 
 def oracle(weights: tuple = WEIGHTS, cap: float = CAP, seed: int = SEED) -> str:
