@@ -174,13 +174,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with one document of each component, all its columns.
 
-    The least doc_id stays (of repeated rows with that id the least text).  A
-    row without an id is dropped if a row with one is in its component and
-    kept otherwise.
+    The least doc_id stays; of repeated rows with that id the one with the
+    least text, null last.  Rows without an id cannot be told apart and stay.
     """
     found = near_duplicates(docs, shingle, distance)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    ranked = rows.withColumn("_kept_rank", F.row_number().over(order))
-    return ranked.filter((F.col("_kept_rank") == 1) | F.col("doc_id").isNull()).drop("_kept_rank")
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    keep = materialize(keep, "keep")
+    rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not keep.filter(F.col("_rows") > 1).isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        rows = rows.withColumn("_kept_rank", F.row_number().over(order)).filter(F.col("_kept_rank") == 1).drop("_kept_rank")
+    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
