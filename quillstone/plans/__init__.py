@@ -1 +1 @@
-
+"""Registered queries, their SQL and the views they read."""
