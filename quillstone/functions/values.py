@@ -74,6 +74,12 @@ HEADER_KEYWORDS = [
     "giá", "nghề", "nghề nghiệp", "mã", "tổng", "chi tiết", "nội dung",
     "ghi chú", "trạng thái", "lý do",
 ]
+# Single words that head a column (fixed values).
+COLUMN_HEADERS = [
+    "tên", "tuổi", "ngày", "số", "địa chỉ", "địa điểm", "thành phố", "quốc gia",
+    "loại", "ngành", "xếp hạng", "giá", "tổng", "mục đích", "lương",
+    "chuyên môn", "ngoài",
+]
 
 # The alphabet of recognised lines; class 0 is the blank (fixed values).
 ALPHABET = (

@@ -122,6 +122,66 @@ def parse_kind(c: Column | str) -> Column:
     return F.when(F.size(rows) == 0, "empty").when(good, "structured").otherwise("list")
 
 
+def is_column_header(c: Column | str) -> Column:
+    """If a cell looks like the head of a column."""
+    c = T.strip(c)
+    n = F.length(c)
+    letters, digits = F.length(T.letters_only(c)), F.length(F.regexp_replace(c, r"[^\p{Nd}]", ""))
+    count = F.size(T.words(c))
+    one = F.lower(c).isin(V.COLUMN_HEADERS) | (n > 5)
+    return n.between(2, 50) & (letters >= n * 0.5) & (digits <= n * 0.3) & ((count >= 2) | ((count == 1) & one))
+
+
+def vertical_width(lines: Column) -> Column:
+    """Columns of a table with one cell a line: the heads that come first, else
+    a usual number whose first cells are heads, else 4."""
+    n = F.size(lines)
+    heads = F.transform(lines, is_column_header)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("count"), F.lit(False).alias("done"))
+
+    def step(acc: Column, head: Column) -> Column:
+        over = acc["done"] | (~head & ((acc["count"] >= 2) | (acc["i"] > 5)))
+        return F.struct((acc["i"] + 1).alias("i"), (acc["count"] + F.when(~over & head, 1).otherwise(0)).alias("count"), over.alias("done"))
+
+    def chosen(heads: Column) -> Column:
+        usual = F.lit(4)
+        for k in reversed([4, 3, 5, 6, 2, 7]):
+            found = F.size(F.filter(F.slice(heads, 1, k), lambda h: h))
+            usual = F.when((n % k == 0) & (found >= k * 0.8), k).otherwise(usual)
+        count = F.aggregate(heads, start, step, lambda a: a["count"])
+        return T.let(count, lambda c: F.when(c >= 2, c).otherwise(usual))
+
+    return T.let(heads, chosen)
+
+
+def vertical_rows(c: Column | str) -> Column:
+    """Rows of a table with one cell a line; null if the text is none."""
+
+    def label(v: Column) -> Column:
+        digits = F.length(F.regexp_replace(v, r"[^\p{Nd}]", ""))
+        return (digits <= F.length(v) * 0.5) & v.rlike(r"\p{L}")
+
+    def of(lines: Column, width: Column) -> Column:
+        count = F.floor(F.size(lines) / F.greatest(width, F.lit(1))).cast("int")
+        whole = width.between(2, 10) & (F.size(lines) >= 2) & (F.pmod(F.size(lines), F.greatest(width, F.lit(1))) == 0) & (count >= 2)
+        rows = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(lines, k * width + 1, width))
+        return F.when(whole, T.let(rows, lambda r: F.when(fits(r, width), r)))
+
+    def fits(rows: Column, width: Column) -> Column:
+        head = F.get(rows, F.lit(0))
+        heads = ~F.exists(head, lambda v: F.length(v) > 50) & (F.size(F.filter(head, label)) >= width * 0.7)
+        data = F.slice(rows, 2, 5)
+        good = F.size(F.filter(data, lambda r: F.exists(r, lambda v: v != "") & ~F.exists(r, lambda v: F.length(v) > 200)))
+        return heads & ((F.size(rows) < 3) | (good >= F.size(data) / 2))
+
+    return T.let(T.lines(c), lambda lines: T.let(vertical_width(lines), lambda w: of(lines, w)))
+
+
+def parse(c: Column | str) -> Column:
+    """Rows of a table's text: one cell a line if it reads like that, else inline."""
+    return F.coalesce(vertical_rows(c), parse_rows(c))
+
+
 def tsv(rows: Column | str) -> Column:
     return F.array_join(F.transform(T.col(rows), lambda r: F.array_join(r, "\t")), "\n")
 
@@ -251,7 +311,7 @@ def as_html(rows: Column | str) -> Column:
 
 def bordered(c: Column | str, form: str = "simple") -> Column:
     """A table's text parsed and written again; an empty one says so."""
-    rows = parse_rows(c)
+    rows = parse(c)
     made = {"markdown": as_markdown, "grid": as_grid}.get(form, as_simple)(rows)
     return F.when(parse_kind(c) == "empty", EMPTY).otherwise(made)
 

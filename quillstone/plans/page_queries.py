@@ -324,6 +324,13 @@ _add(
     lambda s, d: _parsed(s, d).select("doc_id", F.size("r").alias("n_rows"), tables.tsv("r").alias("tsv"), tables.parse_kind("text").alias("kind")),
     _R + "SELECT doc_id, CAST(len(r) AS INTEGER) AS n_rows, array_to_string(list_transform(r, lambda x: array_to_string(x, chr(9))), chr(10)) AS tsv, CASE WHEN len(r) = 0 THEN 'empty' WHEN len(r) > 1 AND len(list_distinct(list_transform(r, lambda x: len(x)))) <= 2 AND len(r[1]) > 1 THEN 'structured' ELSE 'list' END AS kind FROM p",
 )
+def _vertical(s: SparkSession, d: str) -> DataFrame:
+    """Each region's nations as a table with one cell a line."""
+    t = views.table_texts(s, d).select("doc_id", F.regexp_replace("text", r" {2,}", "\n").alias("text"))
+    return t.select("doc_id", tables.tsv(tables.vertical_rows("text")).alias("tsv"), F.size(tables.parse("text")).alias("n_rows"))
+
+
+_add("table_vertical", _vertical)
 _add("table_tsv", lambda s, d: _parsed(s, d).select("doc_id", tables.tsv("r").alias("tsv")), _R + "SELECT doc_id, array_to_string(list_transform(r, lambda x: array_to_string(x, chr(9))), chr(10)) AS tsv FROM p")
 _add("table_csv", lambda s, d: _parsed(s, d).select("doc_id", tables.csv_text("r").alias("csv")), _R + "SELECT doc_id, array_to_string(list_transform(r, lambda x: array_to_string(x, ',')), chr(13)||chr(10)) AS csv FROM p")
 
@@ -455,6 +462,6 @@ from quillstone.streaming.history import windowed  # noqa: E402
 
 _add(
     "history_windows",
-    lambda s, d: windowed(views.history(s, d)).withColumn("mean_conf", F.round("mean_conf", 6)),
-    with_views("history") + "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, engine, count(*) AS n, round(avg(confidence), 6) AS mean_conf FROM history_v GROUP BY 1, 2",
+    lambda s, d: windowed(views.history(s, d)).withColumn("mean_conf", F.round("mean_conf", 9)),
+    with_views("history") + "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, engine, count(*) AS n, round(avg(confidence), 9) AS mean_conf FROM history_v GROUP BY 1, 2",
 )
