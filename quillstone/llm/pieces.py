@@ -30,7 +30,7 @@ from quillstone.llm.common import slices
 MARK = "▁"  # stands for a space
 _LITERAL = "\ud800"  # a MARK that is part of a text; no valid text has this
 #: Chunks whose ids a worker remembers; what does not fit is searched anew.
-MEMO = 800_000
+MEMO = 300_000
 #: What a character without a piece costs, below the lowest score.
 UNKNOWN_BELOW = 10.0
 
