@@ -116,7 +116,7 @@ def judge(
         tree = tree.withColumns({"_n": F.sum("n").over(branch), "_b": F.sum("b").over(branch), "_pn": F.sum("n").over(above), "_pb": F.sum("b").over(above)})
         rate = F.try_divide("_pb", "_pn")
         error = F.sqrt(F.try_divide(rate * (1 - rate), F.col("_n")))
-        alike = (F.col("_n") > 0) & (F.abs(F.try_divide("_b", "_n") - rate) <= APART * error)
+        alike = (F.col("_n") > 0) & (F.col("_n") < F.col("_pn")) & (F.abs(F.try_divide("_b", "_n") - rate) <= APART * error)
         tree = tree.withColumn(f"m{k}", F.when(alike, F.lit("~")).otherwise(F.col(f"t{k}"))).drop("_n", "_b", "_pn", "_pb")
     merged = ["host", *[f"m{k}" for k in range(1, LEVELS + 1)]]
     whole = tree.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("rate"))
@@ -162,7 +162,8 @@ def oracle(rules: list[tuple[str, str, str]] = RULES, share: float = SHARE, supp
         up, own = listed("t", k - 1), listed("t", k)
         n, b = f"CAST(sum(n) OVER (PARTITION BY {own}) AS DOUBLE)", f"CAST(sum(b) OVER (PARTITION BY {own}) AS DOUBLE)"
         rate = f"(CAST(sum(b) OVER (PARTITION BY {up}) AS DOUBLE) / nullif(CAST(sum(n) OVER (PARTITION BY {up}) AS DOUBLE), 0))"
-        merged.append(f"CASE WHEN {n} > 0 AND abs({b} / nullif({n}, 0) - {rate}) <= CAST({APART} AS DOUBLE) * sqrt({rate} * (1 - {rate}) / nullif({n}, 0)) THEN '~' ELSE t{k} END AS m{k}")
+        all_n = f"CAST(sum(n) OVER (PARTITION BY {up}) AS DOUBLE)"
+        merged.append(f"CASE WHEN {n} > 0 AND {n} < {all_n} AND abs({b} / nullif({n}, 0) - {rate}) <= CAST({APART} AS DOUBLE) * sqrt({rate} * (1 - {rate}) / nullif({n}, 0)) THEN '~' ELSE t{k} END AS m{k}")
     pooled = listed("m", LEVELS)
     template = " || ".join(f"'/' || m{k}" for k in range(1, LEVELS + 1))
     parts += [
