@@ -47,6 +47,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranges(df: DataFrame, each: int = 48 << 20) -> int:
+    """How many ranges to cut ``df`` into: the session's shuffle partitions, or
+    more where the planner's size estimate would give each over ``each`` bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    estimate = size if size < 1 << 60 else 0  # a plan of unknown size says so by a huge number
+    return max(partitions(df.sparkSession), -(-estimate // each))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import bucket_of, partitions, range_bounds
+from quillstone.llm.common import bucket_of, range_bounds, ranges
 
 CELLS = 24
 _MASK = (1 << 64) - 1
@@ -163,7 +163,7 @@ def with_following(docs: DataFrame, n: int | None = None) -> DataFrame:
     row of a bucket is known by its id: it is also sent, as a ghost, to the end
     of the bucket before it.  Only ids are read to find the bounds.
     """
-    n = n or partitions(docs.sparkSession)
+    n = n or ranges(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keyed_ids = ids.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import partitions, shared_dir, slices
+from quillstone.llm.common import ranges, shared_dir, slices
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
 MEMO = 500_000
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     null ids come first, repeated ids in order of their texts.
     """
     spark = docs.sparkSession
-    n = n or partitions(spark)
+    n = n or ranges(docs)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "2000")  # long texts: smaller batches in both processes

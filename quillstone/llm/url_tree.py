@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import materialize
+
 #: (host, path, verdict); a rule fits its host, all subdomains and any path
 #: that starts with its own.
 RULES = [
@@ -97,17 +99,19 @@ def judge(
     named.append(F.when(F.size("_s") > LEVELS, F.concat(last, F.lit("/**"))).otherwise(last).alias(f"s{LEVELS}"))
     rows = rows.select("page_id", "host", "path", "rule", "ruled", *named)
 
+    rows = materialize(rows, "urls")
     parents = ["host"]
     for k in range(1, LEVELS + 1):
         s, t = f"s{k}", f"t{k}"
         kept = _literal(rows, parents, s, share, support)
         rows = rows.join(kept, [*parents, s], "left")
         rows = rows.withColumn(t, F.when(F.col("_keep") | (F.col(s) == ""), F.col(s)).otherwise("*")).drop("_keep", s)
+        rows = materialize(rows, f"level{k}")
         parents = [*parents, t]
 
     labelled = F.count("ruled").alias("n")
     blocked = F.count(F.when(F.col("ruled") == "block", 1)).alias("b")
-    tree = rows.groupBy(*parents).agg(labelled, blocked)
+    tree = materialize(rows.groupBy(*parents).agg(labelled, blocked), "tree")
     for k in range(1, LEVELS + 1):
         tree = tree.withColumn(f"m{k}", F.col(f"t{k}"))
     for k in range(LEVELS, 0, -1):
