@@ -193,6 +193,21 @@ def region_merge(boxes: DataFrame, least: float = 0.3) -> DataFrame:
     return rows.groupBy("page_id").applyInPandas(run, rows.schema)
 
 
+def text_layer(words: DataFrame, height: float, dpi: float = 150) -> DataFrame:
+    """Where an invisible text goes on a page in points: the left lower corner
+    of each word, counted from the page's lower edge, and a font of its height,
+    6 at least.  Words without text are left out."""
+    points = 72.0 / dpi
+    rows = words.filter(F.coalesce("text", F.lit("")) != "")
+    size = F.greatest(F.lit(6.0), (F.col("y2") - F.col("y1")) * points)
+    return rows.withColumns({"x_pt": F.col("x1") * points, "y_pt": (F.lit(height) - F.col("y2")) * points, "font_pt": size})
+
+
+def center(prefix: str = "") -> tuple[Column, Column]:
+    """The whole-number centre of a box."""
+    return tuple(F.floor((F.col(f"{prefix}{a}1") + F.col(f"{prefix}{a}2")) / 2) for a in "xy")
+
+
 def profile_runs(profile: DataFrame, key: str, pos: str, value: str, least: int = 15) -> DataFrame:
     """Runs of positions whose value is above a tenth of the key's maximum; a
     run over ``least`` long, or the last up to the end, is a line."""

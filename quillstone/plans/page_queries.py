@@ -215,6 +215,12 @@ _add(
     lambda s, d: layout.join_spans(views.spans(s, d)),
     with_views("spans") + r"SELECT line_id, " + S.normalize("string_agg(piece, '' ORDER BY ord)") + r" AS text FROM (SELECT line_id, ord, CASE WHEN x1 - lag(x2) OVER w > greatest(1.5, size * 0.18) AND regexp_matches(lag(text) OVER w, '[\p{L}\p{Nd}]$') AND regexp_matches(text, '^[\p{L}\p{Nd}]') THEN ' ' || text ELSE text END AS piece FROM spans_v WHERE text <> '' WINDOW w AS (PARTITION BY line_id ORDER BY ord)) p GROUP BY line_id",
 )
+_add(
+    "text_layer",
+    lambda s, d: layout.text_layer(views.blocks(s, d), HEIGHT).select("page_id", "ord", *[F.round(c, 6).alias(c) for c in ("x_pt", "y_pt", "font_pt")]),
+    _K + f"SELECT page_id, ord, round(x1 * {72.0 / 150}, 6) AS x_pt, round(({HEIGHT} - y2) * {72.0 / 150}, 6) AS y_pt, round(greatest(6.0, (y2 - y1) * {72.0 / 150}), 6) AS font_pt FROM blocks_v WHERE text <> ''",
+)
+_add("box_center", lambda s, d: views.boxes(s, d).select("page_id", "ord", *[c.alias(n) for c, n in zip(layout.center(), ("cx", "cy"))]), _B + "SELECT page_id, ord, CAST(floor((x1 + x2) / 2) AS BIGINT) AS cx, CAST(floor((y1 + y2) / 2) AS BIGINT) AS cy FROM boxes_v")
 _add("merge_lines", lambda s, d: layout.merge_lines(views.blocks(s, d).drop("line_lefts"), WIDTH))
 
 
