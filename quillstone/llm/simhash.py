@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     found = near_duplicates(docs, shingle, distance)
     keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     keep = materialize(keep, "keep")
-    rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # merged at every size: neither side is small, and texts must not be broadcast
+    rows = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not keep.filter(F.col("_rows") > 1).isEmpty():
         order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         rows = rows.withColumn("_kept_rank", F.row_number().over(order)).filter(F.col("_kept_rank") == 1).drop("_kept_rank")
