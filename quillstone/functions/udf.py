@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.functions import values as V
+
 
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
@@ -104,6 +106,44 @@ def cascade(text: str, rules: tuple) -> str:
     return re.sub(r"([,.!?;:])(?!\s|$)", r"\1 ", text)
 
 
+def staged(text: str, rules: tuple) -> str:
+    """The older correction: context patterns, errors anywhere in a word, split
+    patterns, wrong marks, white space, last replacements, each in order.
+
+    Kinds are ``context`` and ``split`` (patterns, ignoring case), ``error`` (a
+    literal, ignoring case) and ``final`` (a literal).
+    """
+    by: dict[str, list] = {"context": [], "error": [], "split": [], "final": []}
+    for kind, pattern, new in rules:
+        by[kind].append((pattern, new))
+    for kind in ("context", "error", "split"):
+        for pattern, new in by[kind]:
+            if kind == "error":
+                text = re.sub(re.escape(pattern), lambda _, new=new: new, text, flags=re.IGNORECASE)
+            else:
+                text = re.sub(pattern, new, text, flags=re.IGNORECASE)
+    for old, new in V.WRONG_MARKS.items():
+        text = text.replace(old, new)
+    text = re.sub(r"\s+", " ", text).strip()
+    for old, new in by["final"]:
+        text = text.replace(old, new)
+    return text
+
+
+def correct_lines(df: DataFrame, rules: list[tuple[str, str, str]], text: str = "text", out: str = "corrected") -> DataFrame:
+    """``df`` with ``out``: the older correction of each non-blank line."""
+    fixed = tuple(tuple(r) for r in rules)
+
+    def one(x: str) -> str:
+        return "\n".join(staged(line, fixed) for line in map(str.strip, x.split("\n")) if line)
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else one(x))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def ordered(rules: list[tuple[str, str, str]]) -> tuple:
     """Regular expressions as given, then phrases, then words, both longest
     first; of equal length as given."""

@@ -54,6 +54,11 @@ MARKED = {
     "chay": "chạy", "noilam": "nơi làm việc", "he": "hệ", "hé": "hệ",
     "thir": "thứ", "bfe": "bậc", "gdm": "gồm",
 }
+# Syllables that recognition writes with the wrong mark (fixed values).
+WRONG_MARKS = {
+    "thé": "thế", "ké": "kế", "mé": "mế", "lé": "lế", "né": "nế", "sé": "sế",
+    "té": "tế", "dé": "dế", "gé": "gế",
+}
 
 # What garbage has in it (fixed values).
 GARBAGE = ["glangers", "lorem", "ipsum", "quack", "xxx", "www", "http"]

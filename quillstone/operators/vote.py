@@ -25,6 +25,11 @@ def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
+def only(cands: DataFrame, engines: list[str]) -> DataFrame:
+    """The candidates of some engines."""
+    return cands.filter(F.col("engine").isin(engines))
+
+
 def best(cands: DataFrame) -> DataFrame:
     """The most confident candidate; consensus is 1."""
     return first_by(cands, "image_id", F.desc("confidence"), F.col("ord")).withColumn("consensus", F.lit(1.0))

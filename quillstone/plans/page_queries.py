@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import udf
 from quillstone.functions import values as V
-from quillstone.operators import ctc, layout, pages, tables, vote
+from quillstone.operators import convert, ctc, layout, pages, tables, vote
 from quillstone.plans import sql as S
 from quillstone.plans import views
 from quillstone.plans.sql import q
@@ -69,6 +69,7 @@ _add(
     lambda s, d: vote.variant_best(views.candidates(s, d)),
     _C + _first("ok DESC, CASE WHEN ok THEN s END DESC NULLS LAST, length(text) DESC, ord", "image_id, engine, text, confidence", f"(SELECT *, {_valid} AS ok, {_variant} AS s FROM cands_v) z"),
 )
+_add("engine_subset", lambda s, d: vote.only(views.candidates(s, d), ["easyocr", "paddleocr"]).select("image_id", "engine"), _C + "SELECT image_id, engine FROM cands_v WHERE engine IN ('easyocr', 'paddleocr')")
 _add("mean_conf", lambda s, d: views.candidates(s, d).groupBy("engine").agg(F.round(F.avg("confidence"), 6).alias("mean_conf")), _C + "SELECT engine, round(avg(confidence), 6) AS mean_conf FROM cands_v GROUP BY engine")
 
 
@@ -464,6 +465,21 @@ def _docx(s: SparkSession, d: str) -> DataFrame:
 
 _add("docx_text_order", _docx, _P + f"SELECT doc_id, string_agg({S.strip('text')}, chr(10) ORDER BY (line_no % 3 = 0)::INT, line_no) AS text FROM pages_v WHERE {S.strip('text')} <> '' GROUP BY doc_id")
 
+
+
+def _converted(s: SparkSession, d: str) -> DataFrame:
+    """Every document's lines set on pages of forty and converted."""
+    p = views.lines(s, d)
+    y = ((F.col("line_no") % 40) * 14).cast("double")
+    rows = p.select(
+        "doc_id", F.floor(F.col("line_no") / 40).alias("page_num"), F.col("line_no").alias("ord"), F.lit(50.0).alias("x1"), y.alias("y1"),
+        (F.lit(50.0) + F.least(F.length("text"), F.lit(90)) * 6).alias("x2"), (y + 11).alias("y2"), "text", F.lit(11.0).alias("font_size"), F.lit(False).alias("is_bold"),
+    )
+    return convert.convert(rows, rows, WIDTH)[0]
+
+
+_add("convert", _converted)
+
 from quillstone.streaming.history import windowed  # noqa: E402
 
 _add(

@@ -173,7 +173,8 @@ _add(
 _add("lm_correct", lambda s, d: views.candidates(s, d).select("image_id", "ord", T.lm_correct("text").alias("result")))
 _ONE_RULE = [("regex", r"\bthe\b", "The"), ("phrase", "of the", "of  the"), ("word", "and", "và"), ("word", "la", "là")]
 _add("vi_correct", lambda s, d: udf.correct(views.lines(s, d), _ONE_RULE).select("doc_id", "line_no", "corrected"))
-_add("legacy_spell", lambda s, d: udf.correct(views.lines(s, d).withColumn("text", T.line_clean("text")), [r for r in _ONE_RULE if r[0] != "regex"]).select("doc_id", "line_no", "corrected"))
+_OLD_RULES = [("context", r"\bof\s+the\b", "of the"), ("error", "tion", "tions"), ("split", r"\b(in)(the)\b", r"\1 \2"), ("final", " and ", " & ")]
+_add("legacy_spell", lambda s, d: udf.correct_lines(views.docs(s, d), _OLD_RULES).select("doc_id", "corrected"))
 
 
 def _rule_rows(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:

@@ -259,3 +259,30 @@ def test_sinks(spark, tmp_path):
     assert "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "csv" / "table_id=1")).collect()).replace("\r", "") == '"a,b","c""d"\nx y,\n'
     sinks.write_texts(spark.createDataFrame([("t",)], "text string"), str(tmp_path / "txt"))
     assert spark.read.text(str(tmp_path / "txt")).first().value == "t"
+
+
+def test_convert(spark):
+    from quillstone.operators import convert
+
+    def line(doc, page, k, text):
+        return (doc, page, k, 50.0, 14.0 * k, 500.0, 14.0 * k + 11, text, 11.0, False)
+
+    schema = "doc_id long, page_num int, ord long, x1 double, y1 double, x2 double, y2 double, text string, font_size double, is_bold boolean"
+    long = "plain words that go on for a while and then some more of the same"
+    lines = spark.createDataFrame([line(1, 0, 0, long), line(1, 0, 1, long), line(1, 0, 9, "in table"), line(2, 0, 0, "w0rd x1y z2w " * 9)], schema)
+    seen = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, page_num int")
+    found = spark.createDataFrame([(1, 0, 0, 40.0, 120.0, 520.0, 140.0, [["a", "b"]]), (1, 1, 0, 0.0, 0.0, 9.0, 9.0, [["lost"]])], "doc_id long, page_num int, ord long, x1 double, y1 double, x2 double, y2 double, rows array<array<string>>")
+    recognized = spark.createDataFrame([(1, 1, "", "seen page"), (2, 0, "", "clear text")], "doc_id long, page_num int, image_text string, page_text string")
+    texts, plan = convert.convert(lines, seen, 600.0, found, recognized)
+    assert {r.doc_id: r.text for r in texts.collect()} == {1: f"{long}\n{long}\n\na\tb\n\nseen page", 2: "clear text"}
+    got = {(r.doc_id, r.page_num): (r.strategy, r.used_ocr, r.n_tables) for r in plan.collect()}
+    assert got == {(1, 0): ("direct_text", False, 1), (1, 1): ("scanned_ocr", True, 0), (2, 0): ("garbled_text_ocr", True, 0)}
+    assert convert.needed(convert.strategies(lines, seen)).count() == 2
+
+
+def test_older_correction(spark):
+    from quillstone.functions import udf
+
+    rules = [("context", r"mọi\s+thí\b", "mọi thứ"), ("error", "khăm", "khăn"), ("split", r"\b(xin)(hãy)\b", r"\1 \2"), ("final", "dung hoà", "dung hòa")]
+    df = spark.createDataFrame([("mọi  thí KHĂM\n\n xinhãy thé\ndung  hoà",), (None,)], "text string")
+    assert [r.corrected for r in udf.correct_lines(df, rules).collect()] == ["mọi thứ khăn\nxin hãy thế\ndung hòa", None]
