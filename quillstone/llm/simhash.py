@@ -118,7 +118,8 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
         & (apart("u", "v") <= distance)
         & (F.col("rep").isNull() | (F.col("v") == F.col("rep")) | (apart("u", "rep") > distance) | (apart("v", "rep") > distance))
     )
-    found = p.join(t, near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # a planner's size estimate misses the explosion, so broadcasting is ruled out
+    found = p.hint("merge").join(t, near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return found.distinct()
 
 
