@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import values as V
 
-_LETTER = "[A-Za-zÀ-ỹĐđ]"
-_EDGE = "()\\[\\]{}\"'“”‘’.,;:!?"
+# Parts of the patterns that count tokens of a text.  A token is a run of
+# non-space; marks at its ends do not count.  All repeats are possessive and all
+# matches begin at a token, so any text takes linear time.
+_L = "A-Za-zÀ-ỹĐđ"
+_E = "()\\[\\]{}\"'“”‘’.,;:!?"
+_AT = rf"(?U)(?<!\S)(?=[^\s{_L}]*+[{_L}])"
+_ALPHA = rf"(?U)(?<!\S)[^\s{_L}]*+[{_L}]\S*+"
+_MIXED = rf"(?U)(?<!\S)\S*?(?:[{_L}][0-9]|[0-9][{_L}])\S*+"
+_SHOUTED = rf"(?U)(?<!\S)[{_E}]*+[A-ZĐÀ-Ỵ]{{14,}}+[{_E}]*+(?!\S)"
+_ENDLESS = _AT + rf"[{_E}]*+\p{{L}}{{18,}}+[{_E}]*+(?!\S)"
+_QUOTED = _AT + rf"[{_E}]*+(?>[^\s{_E}][^\s'’]*+['’])[{_E}]*+[^\s{_E}]"
+_COMMON = rf"(?iuU)(?<!\S)[{_E}]*+(?:{'|'.join(V.QUALITY_WORDS)})[{_E}]*+(?!\S)"
 
 
 def _clamp(c: Column) -> Column:
@@ -20,34 +30,29 @@ def text_quality(c: Column | str) -> Column:
     """From 0 to 1: penalties for suspicious, mixed, shouted and quoted tokens,
     rewards for frequent words and Vietnamese letters."""
 
-    def of_tokens(text: Column, tokens: Column) -> Column:
-        bare = F.transform(tokens, lambda w: F.regexp_replace(w, f"^[{_EDGE}]+|[{_EDGE}]+$", ""))
-        tests = [
-            lambda w: w.rlike(f"{_LETTER}[0-9]|[0-9]{_LETTER}"),
-            lambda w: (F.length(w) >= 14) & w.rlike("^[A-ZĐÀ-Ỵ]+$"),
-            lambda w: (F.length(w) >= 18) & w.rlike(r"^\p{L}+$"),
-            lambda w: w.rlike("['’]"),
-            lambda w: F.lower(w).isin(V.QUALITY_WORDS),
-        ]
-        counts = T.let(bare, lambda own: F.array(*[F.size(F.filter(own, t)) for t in tests]))
-        return T.let(counts, lambda n: of_counts(text, F.greatest(F.lit(1), F.size(tokens)), n))
-
-    def of_counts(text: Column, n: Column, counts: Column) -> Column:
-        mixed, shouted, endless, quoted, common = (counts[i] for i in range(5))
+    def count(text: Column, pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    def of_alpha(text: Column, n: Column) -> Column:
+        mixed, shouted, endless, quoted, common = (count(text, p) for p in (_MIXED, _SHOUTED, _ENDLESS, _QUOTED, _COMMON))
         marks = T.count_in(text, V.VIETNAMESE_LOWER + V.VIETNAMESE_UPPER) / F.greatest(F.lit(1), F.length(T.letters_only(text)))
-        return _clamp(
-            F.lit(1.0)
-            - (mixed + shouted + endless) / n * 1.2
-            - mixed / n * 1.4
-            - shouted / n * 0.9
-            - quoted / n * 0.35
-            + F.least(F.lit(0.2), common / n * 0.35)
-            + F.least(F.lit(0.15), marks * 0.5)
-        )
+        counts = F.array(mixed, shouted, endless, quoted, common)
+
+        def total(k: Column) -> Column:
+            return _clamp(
+                F.lit(1.0)
+                - (k[0] + k[1] + k[2]) / n * 1.2
+                - k[0] / n * 1.4
+                - k[1] / n * 0.9
+                - k[3] / n * 0.35
+                + F.least(F.lit(0.2), k[4] / n * 0.35)
+                + F.least(F.lit(0.15), marks * 0.5)
+            )
+
+        return T.let(counts, total)
 
     def of_text(text: Column) -> Column:
-        tokens = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(_LETTER))
-        score = T.let(tokens, lambda own: F.when(F.size(own) == 0, 0.2).otherwise(of_tokens(text, own)))
+        score = T.let(count(text, _ALPHA), lambda n: F.when(n == 0, 0.2).otherwise(of_alpha(text, n)))
         return F.when(text == "", 0.0).otherwise(score)
 
     return T.let(F.coalesce(T.normalize(c), F.lit("")), of_text)
