@@ -37,12 +37,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def suggest(words: DataFrame, known: list[str], least: float = 0.7, k: int = 5) -> DataFrame:
+def suggest(words: DataFrame, known: list[str], least: float = 0.7, k: int = 5, exact: dict[str, str] | None = None) -> DataFrame:
     """Up to ``k`` known words for each word by shared characters, likest
-    first, then by code point.  The known words travel as one literal."""
+    first, then by code point; before them what ``exact`` has for the word,
+    with a likeness of 2.  The known words travel as one literal."""
     words = words.select("word").distinct()
     rows = words.select("word", F.explode(F.array(*[F.lit(w) for w in known])).alias("known"))
     rows = rows.withColumn("s", jaccard(F.col("word"), F.col("known"))).filter(F.col("s") > least)
+    if exact:
+        table = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
+        hits = words.select("word", F.try_element_at(table, F.lower("word")).alias("known"), F.lit(2.0).alias("s"))
+        hits = hits.filter(F.col("known").isNotNull())
+        rows = rows.join(hits.select("word", "known"), ["word", "known"], "left_anti").unionByName(hits)
     w = Window.partitionBy("word").orderBy(F.desc("s"), "known")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

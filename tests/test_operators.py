@@ -225,6 +225,8 @@ def test_rules(spark):
     assert sorted(r.pattern for r in rules.merge_missing(base, more).collect()) == ["a", "b", "c"]
     words = spark.createDataFrame([("thuong",), ("zzz",)], "word string")
     assert [r.known for r in rules.suggest(words, ["thuong", "thuon", "abc"]).orderBy("rank").collect()] == ["thuong", "thuon"]
+    got = rules.suggest(words, ["thuong", "thuon"], exact={"thuong": "thương", "zzz": "zz"}).orderBy("word", "rank").collect()
+    assert [(r.word, r.known) for r in got] == [("thuong", "thương"), ("thuong", "thuong"), ("thuong", "thuon"), ("zzz", "zz")]
     assert [r.known for r in rules.fuzzy(words, ["thuong", "thuongx", "abc"]).orderBy("rank").collect()] == ["thuong", "thuongx"]
 
 
