@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_CHECKPOINTS
     return found.rstrip("/")
 
@@ -82,6 +85,20 @@ def bucket_of(key: Column, bounds: list) -> Column:
     return F.size(F.filter(cuts, lambda b: b <= key))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows``, a written table, marked for broadcasting if they are counted
+    to be at most ``most``, and else for a merge of both sides."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most about ``most`` bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

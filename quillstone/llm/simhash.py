@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,10 @@ from quillstone.llm.common import materialize
 
 #: A slot with this many fingerprints gets a representative.
 CROWDED = 16
+#: Tasks that the rows of one fingerprint or node go to.
+SALTS = 8
+#: A fingerprint or component with this part of the rows is joined apart.
+HOT = 1000
 #: More distinct fingerprints than this are searched with two wide segments,
 #: as the chance matches within narrow ones grow with the table's fill.
 WIDE_ABOVE = 1 << 26
@@ -123,6 +127,13 @@ def links(prints: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
     return found.distinct()
 
 
+def _salted(edges: DataFrame, per: DataFrame) -> DataFrame:
+    """``edges`` (u, v) joined with what ``per`` has for their ``u``; the edges
+    of one node, of a star's hub too, meet it in many tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(per.withColumn("_salt", salts), ["u", "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, root`` for every node of ``edges`` (u, v); root is the least
     node of its component.  Every round is a written table."""
@@ -131,11 +142,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _salted(both, least).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u")
+        small = _salted(low, least)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -162,28 +173,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     if segments is None:
         segments = 3 if distinct.count() <= WIDE_ABOVE else 2
     roots = components(links(distinct, distance, segments))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
+    # only fingerprints with links have another root than themselves
+    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "n", "first_id", "root"), "rooted")
+    firsts = distinct.select(F.col("fp").alias("root"), "first_id").join(rooted.select("root").distinct(), "root", "left_semi")
+    least = rooted.select("root", "first_id").union(firsts).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    moved = rooted.select(F.col("root").alias("u"), F.col("fp").alias("v"))
+    moved = _salted(moved, least.withColumnRenamed("root", "u")).select(F.col("v").alias("fp"), "component_id")
+    moved = moved.union(least.select(F.col("root").alias("fp"), "component_id"))
+    labels = distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    labels = materialize(labels, "labels")
+    total = prints.count()
+    hot = labels.filter((F.col("n") * HOT >= total) & (F.col("n") > 1))  # at most HOT rows
+    apart = prints.join(F.broadcast(hot.select("fp", "component_id")), "fp")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.select("fp", "component_id"), "fp")
+    return apart.unionByName(rest).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component_id").cast(kind),
     )
-
-
-def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component, all its columns.
-
-    The least doc_id stays; of repeated rows with that id the one with the
-    least text, null last.  Rows without an id cannot be told apart and stay.
-    """
-    found = near_duplicates(docs, shingle, distance)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    keep = materialize(keep, "keep")
-    # merged at every size: neither side is small, and texts must not be broadcast
-    rows = docs.join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.filter(F.col("_rows") > 1).isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        rows = rows.withColumn("_kept_rank", F.row_number().over(order)).filter(F.col("_kept_rank") == 1).drop("_kept_rank")
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -72,9 +72,6 @@ def test_near_duplicates(spark):
     for segments in (2, 4):
         again = simhash.near_duplicates(df, segments=segments).collect()
         assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r for r in roots if r is not None})
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -100,11 +97,6 @@ def test_crowded_slots_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_repeated_ids(spark):
-    df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, None), (2, "a b c d e")], "doc_id long, text string")
-    assert [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()] == [(1, "a b c d e")]
-
-
 def test_sketch():
     made = random.Random(9)
     for n in (0, 1, 5, 12, 40, 400):
