@@ -2,17 +2,19 @@
 
 G.711 codes expand through tables of 256 entries made from the companding
 rules.  IMA ADPCM blocks decode in lockstep: one numpy step per sample position
-advances all blocks of a batch.  Linear resampling and PCM files follow.
-Stored forms are WAVE files, so a payload stored as codes is read back byte for
-byte.
+advances all blocks of a batch.  Channels are averaged; resampling is linear,
+after a low-pass where the rate falls.  Stored forms are WAVE files, so a payload
+stored as codes is read back byte for byte.  Long signals go in pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ from pyspark.sql import types as T
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 #: An ADPCM block: predictor, step index and a zero byte, then two codes a byte.
 BLOCK = 64
+EXTENSIBLE = 0xFFFE
+#: Samples that are worked on at a time.
+PIECE = 1 << 20
+FASTEST = 1 << 20  # samples a second that a file may claim
 
 
 def mulaw_table() -> np.ndarray:
@@ -124,38 +130,95 @@ def wave_file(data: bytes, kind: int = MULAW, rate: int = 8000, width: int = BLO
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def read_wave(media: bytes) -> tuple[int, int, int, bytes]:
-    """Form, rate, block bytes and data of a WAVE file."""
+class Wave(NamedTuple):
+    kind: int
+    channels: int
+    rate: int
+    align: int  # bytes of a frame or an ADPCM block
+    bits: int
+    data: bytes
+
+
+def read_wave(media: bytes) -> Wave:
+    """The form and the data of a WAVE file; data that ends early is what there is."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, form = 12, None
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", media, at + 8)
+            kind, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            if kind == EXTENSIBLE and size >= 40:
+                kind = struct.unpack_from("<H", media, at + 32)[0]
+            form = kind, channels, rate, align, bits
         elif name == b"data":
-            return form[0], form[2], form[4], media[at + 8 : at + 8 + size]
+            if form is None:
+                raise ValueError("data before their form")
+            return Wave(*form, media[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("no data in the WAVE file")
 
 
+def _linear(raw: np.ndarray, bits: int) -> np.ndarray:
+    """16-bit samples of little-endian PCM bytes: 8 bits are unsigned, of more
+    than 16 the upper ones count."""
+    width = bits // 8
+    if bits not in (8, 16, 24, 32):
+        raise ValueError(f"{bits} bits a sample")
+    if width == 1:
+        return ((raw.astype(np.int16) - 128) << 8).astype(np.int16)
+    own = raw[: len(raw) // width * width].reshape(-1, width)
+    return np.ascontiguousarray(own[:, -2:]).view("<i2").ravel()
+
+
+def _apart(raw: np.ndarray, align: int, channels: int) -> np.ndarray:
+    """One channel's ADPCM blocks after the other's: of each block the headers,
+    then four bytes of each channel in turn."""
+    each = align // channels
+    if align < 4 * channels or align != each * channels or channels > 1 and each % 4:
+        raise ValueError(f"ADPCM blocks of {align} bytes for {channels} channels")
+    blocks = raw[: len(raw) // align * align].reshape(-1, align // (4 if channels > 1 else 1) // channels, channels, 4 if channels > 1 else 1)
+    return np.ascontiguousarray(blocks.transpose(2, 0, 1, 3)).reshape(channels, -1, each)
+
+
 def decode(media: bytes) -> tuple[int, np.ndarray]:
-    """Rate and PCM samples of a WAVE file of any of the four forms."""
-    kind, rate, align, data = read_wave(media)
+    """Rate and PCM samples of a WAVE file of any of the four forms; several
+    channels are averaged.  ValueError if it is no such file."""
+    kind, channels, rate, align, bits, data = read_wave(media)
+    if not channels or not 0 < rate <= FASTEST:
+        raise ValueError(f"{channels} channels at rate {rate}")
     raw = np.frombuffer(data, np.uint8)
-    if kind == MULAW:
-        return rate, MULAW_PCM[raw]
-    if kind == ALAW:
-        return rate, ALAW_PCM[raw]
     if kind == ADPCM:
-        return rate, decode_adpcm(raw[: len(raw) // align * align].reshape(-1, align)).ravel()
-    if kind == PCM:
-        return rate, np.frombuffer(data[: len(data) // 2 * 2], "<i2")
-    raise ValueError(f"unknown form {kind}")
+        own = _apart(raw, align, channels)
+        pcm = np.stack([decode_adpcm(blocks).ravel() for blocks in own], 1)
+    elif kind in (MULAW, ALAW, PCM):
+        pcm = _linear(raw, bits) if kind == PCM else (MULAW_PCM if kind == MULAW else ALAW_PCM)[raw]
+        pcm = pcm[: len(pcm) // channels * channels].reshape(-1, channels)
+    else:
+        raise ValueError(f"unknown form {kind}")
+    if channels == 1:
+        return rate, pcm[:, 0]
+    return rate, (pcm.sum(1, dtype=np.int64) // channels).astype(np.int16)
+
+
+def _smooth(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """``pcm`` without what is above half of the lower rate ``to``, by a
+    windowed sinc; float32."""
+    half = 16 * -(-rate // to)
+    n = np.arange(-half, half + 1)
+    taps = np.sinc(n * to / rate) * np.hanning(2 * half + 3)[1:-1]
+    taps /= taps.sum()
+    out = np.empty(len(pcm), np.float32)
+    for at in range(0, len(pcm), PIECE):
+        part = np.pad(pcm[max(0, at - half) : at + PIECE + half].astype(np.float64), (max(0, half - at), max(0, at + PIECE + half - len(pcm))), "edge")
+        own = np.convolve(part, taps, "valid")
+        out[at : at + PIECE] = own[: len(out) - at]
+    return out
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """``pcm`` at the rate ``to``, by linear interpolation."""
+    """``pcm`` at the rate ``to``, by linear interpolation, after a low-pass if
+    that is lower."""
     if rate == to or not len(pcm):
         return pcm.astype(np.int16)
     if to == 2 * rate:
@@ -164,52 +227,69 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
         out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
         out[-1] = pcm[-1]
         return out
-    at = np.arange(len(pcm) * to // rate) * (rate / to)
-    return np.interp(at, np.arange(len(pcm)), pcm).round().astype(np.int16)
+    source = _smooth(pcm, rate, to) if to < rate else pcm
+    out = np.empty(len(pcm) * to // rate, np.int16)
+    for at in range(0, len(out), PIECE):
+        where = np.arange(at, min(len(out), at + PIECE)) * (rate / to)
+        low = np.minimum(where.astype(np.int64), len(pcm) - 1)
+        high = np.minimum(low + 1, len(pcm) - 1)
+        mixed = source[low] + (source[high].astype(np.float64) - source[low]) * (where - low)
+        out[at : at + PIECE] = np.clip(mixed.round(), -32768, 32767)
+    return out
 
 
 def decode_column(df: DataFrame, media: str = "media", out: str = "pcm_media", rate: int = 16000) -> DataFrame:
     """``df`` with ``out``: the binary column ``media`` as a PCM WAVE file at
-    ``rate``.  Null or unreadable media give null; other columns stay."""
+    ``rate``, one channel of 16 bits.  Null or unreadable media, malformed ones
+    of any kind, give null; other columns stay."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in batches:
-            yield pa.array([_to_pcm(x.as_py(), rate) for x in part], pa.binary())
+            yield pa.array([to_pcm(x.as_py(), rate) for x in part], pa.binary())
 
-    return df.withColumn(out, F.arrow_udf(run, T.BinaryType())(media)) if hasattr(F, "arrow_udf") else df.withColumn(out, F.udf(lambda x: _to_pcm(x, rate), T.BinaryType())(media))
+    return df.withColumn(out, F.arrow_udf(run, T.BinaryType())(media))
 
 
-def _to_pcm(media: bytes | None, rate: int) -> bytes | None:
+def to_pcm(media: bytes | None, rate: int) -> bytes | None:
+    """A PCM WAVE file of a WAVE file; None if it cannot be read."""
     if media is None:
         return None
     try:
         own, pcm = decode(bytes(media))
-    except (ValueError, struct.error, TypeError):
+    except (ValueError, struct.error):
         return None
     return wave_file(resample(pcm, own, rate).tobytes(), PCM, rate)
 
 
-def features(payload: np.ndarray, adpcm: np.ndarray) -> str:
+def features(payload: np.ndarray, adpcm: np.ndarray, stored: bytes) -> str:
     """Integers over the three readings of a payload: root mean square, sign
     changes and peak of its mu-law and A-law PCM and of its ADPCM blocks, and
-    the crc32 of the mu-law PCM resampled to 16 kHz."""
+    the crc32 of the samples in its stored PCM."""
     out = []
-    for pcm in (MULAW_PCM[payload], ALAW_PCM[payload], adpcm):
-        wide = pcm.astype(np.float64)  # squares add up exactly, in any order
-        up = pcm >= 0
-        out += [int(np.sqrt(np.dot(wide, wide) / len(wide))), int(np.count_nonzero(up[1:] != up[:-1])), int(max(-int(pcm.min()), int(pcm.max())))]
-    out.append(zlib.crc32(resample(MULAW_PCM[payload], 8000, 16000)))
+    for source, table in ((payload, MULAW_PCM), (payload, ALAW_PCM), (adpcm, None)):
+        squares, changes, peak, last = 0, 0, 0, None
+        for at in range(0, len(source), PIECE):
+            pcm = source[at : at + PIECE] if table is None else table[source[at : at + PIECE]]
+            wide = pcm.astype(np.float64)  # squares of whole numbers add up exactly
+            up = pcm >= 0
+            squares += int(np.dot(wide, wide))
+            changes += int(np.count_nonzero(up[1:] != up[:-1])) + (last is not None and bool(up[0]) != last)
+            peak, last = max(peak, -int(pcm.min()), int(pcm.max())), bool(up[-1])
+        out += [int(math.sqrt(squares / len(source))), int(changes), peak]
+    out.append(zlib.crc32(read_wave(stored).data))
     return ":".join(map(str, out))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every text as a mu-law WAVE file, read back and measured.
+    """Every text as a mu-law WAVE file, read back, stored as PCM at 16 kHz and
+    measured.
 
     The payload is the text's UTF-8, filled with zero bytes to a positive
-    multiple of 64.  ``docs`` needs ``doc_id`` and ``text``; other columns are
-    not read.  A null text counts as empty; an empty table gives an empty
-    result; equal texts give equal values.  ADPCM blocks of about a megabyte of
-    texts decode together; a longer text decodes alone.
+    multiple of 64.  ``docs`` needs ``doc_id``, of any type, and ``text``;
+    other columns are not read.  A null text counts as empty; an empty table
+    gives an empty result; equal texts give equal values.  ``pcm_bytes`` and
+    ``pcm_crc32`` are of the stored PCM file.  ADPCM blocks of about a megabyte
+    of texts decode together; a longer text decodes alone.
     """
 
     def rows(group: list[tuple]) -> pa.RecordBatch:
@@ -220,7 +300,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             media.append(wave_file(payload))
             sizes.append(len(data))
             kept.append(doc_id)
-        back = [read_wave(m)[3] for m in media]
+        back = [read_wave(m).data for m in media]
         flat = np.frombuffer(b"".join(back), np.uint8)
         pcm = decode_adpcm(flat.reshape(-1, BLOCK))
         out, at = [], 0
@@ -228,19 +308,20 @@ def text_media(docs: DataFrame) -> DataFrame:
             n = len(data) // BLOCK
             own = pcm[at : at + n].reshape(-1)
             at += n
-            codes = np.frombuffer(data, np.uint8)
-            out.append((doc_id, size, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), features(codes, own)))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [id_kind, *kinds])], names)
+            codes, linear = np.frombuffer(data, np.uint8), to_pcm(stored, 16000)
+            digests = hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest()
+            out.append((doc_id, size, len(data), *digests, features(codes, own, linear), len(linear), zlib.crc32(linear)))
+        columns = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(columns[0]), *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], names)
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    id_kind = pa.int64()
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, held = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                group.append((doc_id.as_py(), text.as_py()))
+            for i, text in enumerate(batch.column(1)):
+                group.append((batch.column(0).slice(i, 1), text.as_py()))
                 held += len(group[-1][1] or "")
                 if held >= 1 << 20:
                     yield rows(group)
@@ -248,5 +329,6 @@ def text_media(docs: DataFrame) -> DataFrame:
             if group:
                 yield rows(group)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    texts, longs = ("payload_sha256", "media_sha256", "feature"), T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(x, T.StringType() if x in texts else longs) for x in names[1:]]])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

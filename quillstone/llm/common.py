@@ -62,29 +62,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list:
-    """At most ``n - 1`` ascending values of ``key`` that cut it into ``n``
-    ranges of about equal counts.  Each bound is a value that occurs."""
-    if n < 2:
-        return []
-    at = [i / n for i in range(1, n)]
-    row = df.agg(
-        F.percentile_approx(key, at, max(10_000, 100 * n)).alias("cuts"),
-        F.min(key).alias("least"),
-    ).first()
-    if row["cuts"] is None:
-        return []
-    return [x for x in sorted(set(row["cuts"])) if x > row["least"]]
-
-
-def bucket_of(key: Column, bounds: list) -> Column:
-    """How many bounds are at or below ``key``."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= key))
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, made longer until no column is called so."""
     lower = {c.lower() for c in taken}
@@ -99,6 +76,24 @@ def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
 
 
+#: A key with this part of all rows is joined apart.
+HOT = 1000
+
+
+def joined(rows: DataFrame, per: DataFrame, keys: list[str], heavy: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``per`` has for their ``keys``, which are not null.
+
+    ``heavy`` marks those rows of ``per``, at most about ``HOT``, whose keys
+    hold many of ``rows``: they are broadcast, all others are merged, so no
+    task gets the rows of a hot key.  ``per`` has a row a key at most and is a
+    written table; ``how`` is ``inner`` or ``left``.
+    """
+    hot = per.filter(heavy)
+    apart = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per.hint("merge"), keys, how)
+    return apart.unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most about ``most`` bytes of text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -5,6 +5,10 @@ search keeps a window of positions no longer than the longest piece plus what
 is not yet decided: as soon as the backpointers of all live positions meet in
 one boundary, the ids up to there are final and leave the window.
 
+The scores of a BPE vocabulary are ranks of merges and no likelihoods.  There
+a piece weighs what Zipf's law (with Mandelbrot's offset) gives its rank, so the
+best path is the likeliest under that law; nothing is trained.
+
 No piece of the vocabulary has a space mark after another character, so every
 path has a boundary before a space mark; what lies between two such boundaries
 is remembered by each worker.
@@ -13,6 +17,7 @@ is remembered by each worker.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -30,13 +35,28 @@ from quillstone.llm.common import slices
 MARK = "▁"  # stands for a space
 _LITERAL = "\ud800"  # a MARK that is part of a text; no valid text has this
 #: Chunks whose ids a worker remembers; what does not fit is searched anew.
-MEMO = 300_000
+MEMO = 150_000
 #: What a character without a piece costs, below the lowest score.
 UNKNOWN_BELOW = 10.0
+#: What is added to a rank before its logarithm is taken.
+OFFSET = 30
+
+
+def log_weights(scores: list[float]) -> list[float]:
+    """The scores themselves, or the logarithms of Zipf's law for ranks: whole
+    scores are ranks, as hardly any logarithm is whole."""
+    if any(s != int(s) for s in scores):
+        return scores
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    whole = math.log(sum(1 / (r + OFFSET) for r in range(1, len(scores) + 1)))
+    out = [0.0] * len(scores)
+    for r, i in enumerate(order, 1):
+        out[i] = -math.log(r + OFFSET) - whole
+    return out
 
 
 class Vocabulary:
-    """Pieces, scores and byte pieces of a SentencePiece model file."""
+    """Pieces, log weights and byte pieces of a SentencePiece model file."""
 
     def __init__(self, model: str):
         import public_tokenizers
@@ -58,6 +78,8 @@ class Vocabulary:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece has a space mark after another character")
+        for piece, weight in zip(list(self.pieces), log_weights([x[1] for x in self.pieces.values()])):
+            self.pieces[piece] = (self.pieces[piece][0], weight)
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_BELOW
         for piece in list(self.pieces):

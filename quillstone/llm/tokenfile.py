@@ -23,6 +23,8 @@ from quillstone.llm.common import ranges, shared_dir, slices
 
 #: Words whose ids a worker remembers; what does not fit is encoded anew.
 MEMO = 500_000
+#: Files whose ids are summed up together.
+FILES = 1000
 #: New words that the library encodes as one text.
 TOGETHER = 10_000
 
@@ -196,12 +198,14 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, stripe_bytes: int = 16 << 20, n: int | None = None) -> None:
     """Write the token file of ``docs`` to the folder ``path``.
 
-    Documents are in ascending doc_id order over the files in name order;
-    null ids come first, repeated ids in order of their texts.
+    Documents are in ascending doc_id order over the files in the order of
+    their numbers; null ids come first, repeated ids in order of a hash of
+    their texts, then of the texts.  Rows of one id may be in several files.
     """
     spark = docs.sparkSession
     n = n or ranges(docs)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    h = F.xxhash64("text", F.col("text").isNull())
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", h).sortWithinPartitions("doc_id", h, "text")
     rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "2000")  # long texts: smaller batches in both processes
     try:
@@ -244,6 +248,24 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None, id_
     return found if doc_ids is None else found.filter(F.col("doc_id").isin(list(doc_ids)))
 
 
+def bases(totals: DataFrame) -> DataFrame:
+    """``file, base``: the ids before each of the files (file, held).
+
+    Files are in the order of the number in their names, which has more than
+    five digits beyond 100,000 files.  Sums by runs of files first, so that no
+    task sorts them all.
+    """
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    rows = totals.select("file", "held", number.alias("no"), F.floor(number / FILES).alias("run"))
+    earlier = (Window.unboundedPreceding, -1)
+    runs = rows.groupBy("run").agg(F.sum("held").alias("sum"))
+    over = Window.orderBy("run").rowsBetween(*earlier)  # a row for each run of files
+    runs = runs.select("run", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy("run").orderBy("no", "file").rowsBetween(*earlier)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("held").over(within), F.lit(0)))
+    return rows.join(runs, "run").select("file", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def digests(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document of a token file."""
     rows = read_tokens(spark, path, id_type=id_type).withColumn("file", F.col("_metadata.file_name"))
@@ -271,9 +293,7 @@ def digests(spark: SparkSession, path: str, id_type: T.DataType | None = None) -
     )
     each = rows.select("doc_id", "file", "row_start", "ids").mapInArrow(run, schema)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    bases = totals.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    joined = each.join(bases, "file")
+    joined = each.join(bases(totals), "file")
     return joined.select("doc_id", (F.col("base") + F.col("row_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

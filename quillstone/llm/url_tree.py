@@ -1,15 +1,20 @@
 """URL filter: host rules first, then a path-template tree learned per host.
 
 Paths of a host form a tree of segments.  Level by level, segment values that
-too few of their siblings' pages have become the wildcard ``*``.  Sibling
-branches whose labelled block rates cannot be told apart merge into ``~``.  A
-template is rejected if its labelled purity, smoothed by the overall block
-rate, reaches a threshold.  The labels are the verdicts of the rules.
-
-All of it is DataFrame operations.  A page crosses the network once a level,
-as a short row; a value stays literal only with a fixed share of its parent's
-pages, so a node has a bounded number of literal children however large the
-host is.
+too few of their siblings' pages have become the wildcard ``*``, unless they are
+common over all hosts.  Sibling branches whose labelled block rates cannot be
+told apart merge into ``~``.  A template is rejected if its labelled purity,
+smoothed, reaches a threshold.  The labels are the verdicts of the rules.
+
+A node is smoothed by its parent in the host's tree, moved by how the same path
+over all hosts differs from its own parent there; the chain starts at the
+overall rate.  So a template without a label has the evidence of its host and
+that of its path on other hosts.
+
+All of it is DataFrame operations.  Pages collapse to distinct paths of a host
+first; a value stays literal only with a fixed share of its parent's pages, in
+the host or over all hosts, so a node has a bounded number of literal children
+however large the host is.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize
+from quillstone.llm.common import HOT, joined, materialize, small
 
 #: (host, path, verdict); a rule fits its host, all subdomains and any path
 #: that starts with its own.
@@ -28,11 +33,12 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-LEVELS = 3  # segments that are told apart; what lies deeper is one wildcard
+LEVELS = 4  # segments that are told apart; what lies deeper is one wildcard
 SHARE = 0.02  # of its parent's pages that a literal segment has at least
 SUPPORT = 3  # pages that a literal segment has at least
 APART = 1.96  # standard errors from which on branches differ
-PRIOR = 4.0  # labelled pages that the overall rate counts for
+PRIOR = 4.0  # labelled pages that what a node is smoothed by counts for
+LEAST_RATE = 1e-6  # nearest that a rate comes to 0 and 1 where odds are taken
 REJECT = 0.6  # smoothed purity from which on a template is rejected
 
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -60,13 +66,23 @@ def _first_fit(rules: list, host: Column, path: Column, value) -> Column:
     return found
 
 
-def _literal(pages: DataFrame, parents: list[str], segment: str, share: float, support: int) -> DataFrame:
-    """The parents and segments that stay literal."""
-    children = pages.groupBy(*parents, segment).agg(F.count(F.lit(1)).alias("_n"))
-    totals = children.groupBy(*parents).agg(F.sum("_n").alias("_all"))
+def _literal(paths: DataFrame, parents: list[str], segment: str, share: float, support: int, total: int) -> DataFrame:
+    """The parents and segments that stay literal, and their pages ``_n``."""
+    children = materialize(paths.groupBy(*parents, segment).agg(F.sum("pages").alias("_n")), "children")
     # every parent has at most 1 / share such children
     common = (F.col("_n") >= support) & (F.col("_n") >= F.col("_all") * share)
-    return children.filter(F.col("_n") >= support).join(totals, parents).filter(common).select(*parents, segment, F.lit(True).alias("_keep"))
+    often = children.filter(F.col("_n") >= support)
+    if parents:
+        totals = materialize(children.groupBy(*parents).agg(F.sum("_n").alias("_all")), "totals")
+        often = joined(often, totals, parents, F.col("_all") * HOT >= total)
+    else:
+        often = often.withColumn("_all", F.lit(total))
+    return materialize(often.filter(common).select(*parents, segment, "_n", F.lit(True).alias("_keep")), "literal")
+
+
+def _odds(rate: Column) -> Column:
+    held = F.least(F.greatest(rate, F.lit(LEAST_RATE)), F.lit(1 - LEAST_RATE))
+    return held / (1 - held)
 
 
 def judge(
@@ -76,14 +92,16 @@ def judge(
     support: int = SUPPORT,
     prior: float = PRIOR,
     reject: float = REJECT,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, purity`` of each page.
 
     ``pages`` needs ``page_id`` and ``url``; other columns are not read.  A
     null url, or one without ``://``, has an empty host and path and is judged
     like the pages of any host.  ``rule`` is the longest that fits, of equally
-    long ones the first by code point.  Repeated rows count each; without any
-    labelled page nothing is rejected; an empty table gives an empty result.
+    long ones the first by code point.  ``levels`` segments are told apart, all
+    below is one wildcard.  Repeated rows count each; without any labelled page
+    nothing is rejected; an empty table gives an empty result.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
@@ -94,89 +112,149 @@ def judge(
         _first_fit(rules, host, path, lambda h, p, v: v).alias("ruled"),
         F.split(F.regexp_replace(path, "^/", ""), "/").alias("_s"),
     )
-    named = [F.coalesce(F.get("_s", i), F.lit("")).alias(f"s{i + 1}") for i in range(LEVELS - 1)]
-    last = F.coalesce(F.get("_s", LEVELS - 1), F.lit(""))
-    named.append(F.when(F.size("_s") > LEVELS, F.concat(last, F.lit("/**"))).otherwise(last).alias(f"s{LEVELS}"))
-    rows = rows.select("page_id", "host", "path", "rule", "ruled", *named)
-
-    rows = materialize(rows, "urls")
-    parents = ["host"]
-    for k in range(1, LEVELS + 1):
-        s, t = f"s{k}", f"t{k}"
-        kept = _literal(rows, parents, s, share, support)
-        rows = rows.join(kept, [*parents, s], "left")
-        rows = rows.withColumn(t, F.when(F.col("_keep") | (F.col(s) == ""), F.col(s)).otherwise("*")).drop("_keep", s)
-        rows = materialize(rows, f"level{k}")
-        parents = [*parents, t]
-
+    ks = range(1, levels + 1)
+    named = [F.coalesce(F.get("_s", i), F.lit("")).alias(f"s{i + 1}") for i in range(levels - 1)]
+    last = F.coalesce(F.get("_s", levels - 1), F.lit(""))
+    named.append(F.when(F.size("_s") > levels, F.concat(last, F.lit("/**"))).otherwise(last).alias(f"s{levels}"))
+    rows = materialize(rows.select("page_id", "host", "path", "rule", "ruled", *named), "urls")
+    total = rows.count()
+    place = ["host", *[f"s{k}" for k in ks]]
     labelled = F.count("ruled").alias("n")
     blocked = F.count(F.when(F.col("ruled") == "block", 1)).alias("b")
-    tree = materialize(rows.groupBy(*parents).agg(labelled, blocked), "tree")
-    for k in range(1, LEVELS + 1):
-        tree = tree.withColumn(f"m{k}", F.col(f"t{k}"))
-    for k in range(LEVELS, 0, -1):
-        above = Window.partitionBy("host", *[f"t{i}" for i in range(1, k)])
-        branch = Window.partitionBy("host", *[f"t{i}" for i in range(1, k + 1)])
-        tree = tree.withColumns({"_n": F.sum("n").over(branch), "_b": F.sum("b").over(branch), "_pn": F.sum("n").over(above), "_pb": F.sum("b").over(above)})
-        rate = F.try_divide("_pb", "_pn")
-        error = F.sqrt(F.try_divide(rate * (1 - rate), F.col("_n")))
-        alike = (F.col("_n") > 0) & (F.col("_n") < F.col("_pn")) & (F.abs(F.try_divide("_b", "_n") - rate) <= APART * error)
-        tree = tree.withColumn(f"m{k}", F.when(alike, F.lit("~")).otherwise(F.col(f"t{k}"))).drop("_n", "_b", "_pn", "_pb")
-    merged = ["host", *[f"m{k}" for k in range(1, LEVELS + 1)]]
-    whole = tree.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0)).alias("rate"))
-    purity = (F.col("mb") + F.col("rate") * prior) / (F.col("mn") + prior)
-    pools = tree.groupBy(*merged).agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    scored = pools.join(F.broadcast(whole)).withColumn("purity", purity)  # one row
-    template = F.concat(*[x for k in range(1, LEVELS + 1) for x in (F.lit("/"), F.col(f"m{k}"))])
-    verdicts = tree.join(scored.drop("mn", "mb", "rate"), merged).select(*parents, template.alias("template"), "purity")
-    out = rows.join(verdicts, parents)
+    paths = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("pages"), labelled, blocked)
+    paths = materialize(paths, "paths")
+
+    # over all hosts (g), then in each (t)
+    for top, name in (([], "g"), (["host"], "t")):
+        parents = list(top)
+        for k in ks:
+            s = f"s{k}"
+            kept = _literal(paths, parents, s, share, support, total)
+            paths = joined(paths, kept, [*parents, s], F.col("_n") * HOT >= total, "left")
+            literal = F.col("_keep") | (F.col(s) == "")
+            if name == "t":
+                literal = literal | (F.col(f"g{k}") == F.col(s))
+            paths = materialize(paths.withColumn(f"{name}{k}", F.when(literal, F.col(s)).otherwise("*")).drop("_keep", "_n"), f"level{name}{k}")
+            parents = [*parents, f"{name}{k}"]
+
+    # a template of a host lies in one template over all hosts
+    ts, gs = [f"t{k}" for k in ks], [f"g{k}" for k in ks]
+    tree = materialize(paths.groupBy("host", *ts, *gs).agg(*[F.sum(c).alias(c) for c in ("pages", "n", "b")]), "tree")
+    every = materialize(tree.groupBy(*gs).agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "every")  # of bounded size
+    sums = every.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    rate = sums["b"] / sums["n"] if sums["n"] else 0.0
+    every = every.withColumn("z0", F.lit(rate))
+    for k in ks:
+        over = Window.partitionBy(*gs[:k])
+        every = every.withColumn(f"z{k}", (F.sum("b").over(over) + prior * F.col(f"z{k - 1}")) / (F.sum("n").over(over) + prior))
+    every = materialize(every.drop("n", "b"), "rates")
+    tree = tree.join(small(every), gs).withColumn("rate", F.lit(rate))
+    for k in [0, *ks]:
+        over = Window.partitionBy("host", *ts[:k])
+        tree = tree.withColumns({f"_n{k}": F.sum("n").over(over), f"_b{k}": F.sum("b").over(over)})
+        if k:
+            odds = _odds(F.col("rate")) * _odds(F.col(f"z{k}")) / _odds(F.col(f"z{k - 1}"))
+            tree = tree.withColumn("prior", odds / (1 + odds))
+        else:
+            tree = tree.withColumn("prior", F.col("rate"))
+        tree = tree.withColumn("rate", (F.col(f"_b{k}") + prior * F.col("prior")) / (F.col(f"_n{k}") + prior))
+    for k in ks:
+        own, up = F.try_divide(f"_b{k}", f"_n{k}"), F.try_divide(f"_b{k - 1}", f"_n{k - 1}")
+        error = F.sqrt(F.try_divide(up * (1 - up), F.col(f"_n{k}")))
+        alike = (F.col(f"_n{k}") > 0) & (F.col(f"_n{k}") < F.col(f"_n{k - 1}")) & (F.abs(own - up) <= APART * error)
+        tree = tree.withColumn(f"m{k}", F.when(alike, F.lit("~")).otherwise(F.col(f"t{k}")))
+    ms = [f"m{k}" for k in ks]
+    # in whole billionths, so that no order of adding matters
+    tree = tree.withColumn("share", F.round(F.col("prior") * 1e9).cast("long").cast("decimal(38,0)") * F.col("pages"))
+    tree = materialize(tree.select("host", *ts, *ms, "pages", "n", "b", "share"), "merged")
+    pools = tree.groupBy("host", *ms).agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("share").alias("share"))
+    mean = F.col("share").cast("double") / F.col("pages") / 1e9
+    template = F.concat(*[x for k in ks for x in (F.lit("/"), F.col(f"m{k}"))])
+    purity = F.round((F.col("b") + mean * prior) / (F.col("n") + prior), 6).alias("purity")
+    verdicts = tree.select("host", *ts, *ms).join(pools.select("host", *ms, template.alias("template"), purity), ["host", *ms]).drop(*ms)
+    verdicts = materialize(verdicts, "verdicts")
+    weights = paths.groupBy("host", *ts).agg(F.sum("pages").alias("_n"))
+    verdicts = materialize(verdicts.join(weights, ["host", *ts]), "weighed")
+    known = joined(paths.select(*place, *ts, "pages"), verdicts, ["host", *ts], F.col("_n") * HOT >= total).select(*place, "pages", "template", "purity")
+    out = joined(rows, materialize(known, "known"), place, F.col("pages") * HOT >= total)
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
-def oracle(rules: list[tuple[str, str, str]] = RULES, share: float = SHARE, support: int = SUPPORT, prior: float = PRIOR, reject: float = REJECT) -> str:
+def oracle(
+    rules: list[tuple[str, str, str]] = RULES, share: float = SHARE, support: int = SUPPORT, prior: float = PRIOR, reject: float = REJECT, levels: int = LEVELS
+) -> str:
     """The same in DuckDB SQL."""
+    ks = range(1, levels + 1)
 
     def fit(value) -> str:
         whens = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in _longest_first(rules)]
         return "CASE " + " ".join(whens) + " END"
 
-    def listed(prefix: str, n: int, table: str = "") -> str:
-        return ", ".join([f"{table}host", *[f"{table}{prefix}{i}" for i in range(1, n + 1)]])
+    def listed(*columns: str) -> str:
+        return ", ".join(columns)
+
+    def real(x) -> str:
+        return f"CAST({x} AS DOUBLE)"
+
+    def odds(x: str) -> str:
+        held = f"least(greatest({x}, {real(LEAST_RATE)}), {real(1 - LEAST_RATE)})"
+        return f"({held} / (1 - {held}))"
 
-    seg = [f"coalesce(s[{i}], '') AS s{i}" for i in range(1, LEVELS)]
-    seg.append(f"coalesce(s[{LEVELS}], '') || CASE WHEN len(s) > {LEVELS} THEN '/**' ELSE '' END AS s{LEVELS}")
+    seg = [f"coalesce(s[{i}], '') AS s{i}" for i in range(1, levels)]
+    seg.append(f"coalesce(s[{levels}], '') || CASE WHEN len(s) > {levels} THEN '/**' ELSE '' END AS s{levels}")
+    place = listed("host", *[f"s{k}" for k in ks])
     parts = [
         f"u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{_SPLIT}', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(url, '{_SPLIT}', 2), '') AS path FROM pages)",
         f"v AS (SELECT *, {fit(lambda h, p, v: h + p)} AS rule, {fit(lambda h, p, v: v)} AS ruled, string_split(regexp_replace(path, '^/', ''), '/') AS s FROM u)",
-        f"r0 AS (SELECT page_id, host, path, rule, ruled, {', '.join(seg)} FROM v)",
+        f"r AS (SELECT page_id, host, path, rule, ruled, {', '.join(seg)} FROM v)",
+        f"g0 AS (SELECT {place}, count(*) AS pages, count(ruled) AS n, count(CASE WHEN ruled = 'block' THEN 1 END) AS b FROM r GROUP BY {place})",
+    ]
+    before = "g0"
+    for top, name in (([], "g"), (["host"], "t")):
+        up = list(top)
+        for k in ks:
+            s, x = f"s{k}", f"{name}{k}"
+            total = f"sum(sum(pages)) OVER (PARTITION BY {listed(*up)})" if up else "sum(sum(pages)) OVER ()"
+            also = f" OR p.g{k} = p.{s}" if name == "t" else ""
+            parts += [
+                f"c{x} AS (SELECT {listed(*up, s)}, sum(pages) AS pn, {total} AS total FROM {before} GROUP BY {listed(*up, s)})",
+                f"k{x} AS (SELECT {listed(*up, s)}, TRUE AS keep FROM c{x} WHERE pn >= {support} AND pn >= {real('total')} * {real(share)})",
+                f"l{x} AS (SELECT p.*, CASE WHEN keep OR p.{s} = ''{also} THEN p.{s} ELSE '*' END AS {x} FROM {before} p LEFT JOIN k{x} USING ({listed(*up, s)}))",
+            ]
+            before, up = f"l{x}", [*up, x]
+    ts, gs, ms = ([f"{c}{k}" for k in ks] for c in "tgm")
+    parts += [
+        f"e AS (SELECT {listed('host', *ts, *gs)}, sum(pages) AS pages, sum(n) AS n, sum(b) AS b FROM {before} GROUP BY {listed('host', *ts, *gs)})",
+        f"y0 AS (SELECT {listed(*gs)}, sum(n) AS n, sum(b) AS b, coalesce({real('sum(sum(b)) OVER ()')} / nullif({real('sum(sum(n)) OVER ()')}, 0), 0) AS z0 FROM e GROUP BY {listed(*gs)})",
     ]
-    for k in range(1, LEVELS + 1):
-        up, s = listed("t", k - 1), f"s{k}"
+    for k in ks:
+        over = f"OVER (PARTITION BY {listed(*gs[:k])})"
+        parts.append(f"y{k} AS (SELECT *, ({real(f'sum(b) {over}')} + {real(prior)} * z{k - 1}) / ({real(f'sum(n) {over}')} + {real(prior)}) AS z{k} FROM y{k - 1})")
+    parts.append(f"h AS (SELECT e.*, {listed(*[f'z{k}' for k in [0, *ks]])}, z0 AS rate FROM e JOIN y{levels} USING ({listed(*gs)}))")
+    before = "h"
+    for k in [0, *ks]:
+        over = f"OVER (PARTITION BY {listed('host', *ts[:k])})"
+        chance = f"{odds('rate')} * {odds(f'z{k}')} / {odds(f'z{k - 1}')}" if k else ""
+        held = f"SELECT * EXCLUDE (o), o / (1 + o) AS prior FROM (SELECT * {'EXCLUDE (prior)' if k else ''}, {chance} AS o FROM {before}) o{k}" if k else f"SELECT *, rate AS prior FROM {before}"
         parts += [
-            f"c{k} AS (SELECT {up}, {s}, count(*) AS n FROM r{k - 1} GROUP BY {up}, {s})",
-            f"p{k} AS (SELECT {up}, sum(n) AS total FROM c{k} GROUP BY {up})",
-            f"k{k} AS (SELECT {listed('t', k - 1, 'c.')}, c.{s}, TRUE AS keep FROM c{k} c JOIN p{k} p USING ({up}) WHERE n >= {support} AND n >= CAST(total AS DOUBLE) * CAST({share} AS DOUBLE))",
-            f"r{k} AS (SELECT r.* EXCLUDE ({s}), CASE WHEN keep OR r.{s} = '' THEN r.{s} ELSE '*' END AS t{k} FROM r{k - 1} r LEFT JOIN k{k} USING ({up}, {s}))",
+            f"i{k} AS (SELECT *, {real(f'sum(n) {over}')} AS n{k}, {real(f'sum(b) {over}')} AS b{k} FROM ({held}) q{k})",
+            f"j{k} AS (SELECT * EXCLUDE (rate), (b{k} + {real(prior)} * prior) / (n{k} + {real(prior)}) AS rate FROM i{k})",
         ]
-    keys = listed("t", LEVELS)
-    parts.append(f"e AS (SELECT {keys}, count(ruled) AS n, count(CASE WHEN ruled = 'block' THEN 1 END) AS b FROM r{LEVELS} GROUP BY {keys})")
+        before = f"j{k}"
     merged = []
-    for k in range(1, LEVELS + 1):
-        up, own = listed("t", k - 1), listed("t", k)
-        n, b = f"CAST(sum(n) OVER (PARTITION BY {own}) AS DOUBLE)", f"CAST(sum(b) OVER (PARTITION BY {own}) AS DOUBLE)"
-        rate = f"(CAST(sum(b) OVER (PARTITION BY {up}) AS DOUBLE) / nullif(CAST(sum(n) OVER (PARTITION BY {up}) AS DOUBLE), 0))"
-        all_n = f"CAST(sum(n) OVER (PARTITION BY {up}) AS DOUBLE)"
-        merged.append(f"CASE WHEN {n} > 0 AND {n} < {all_n} AND abs({b} / nullif({n}, 0) - {rate}) <= CAST({APART} AS DOUBLE) * sqrt({rate} * (1 - {rate}) / nullif({n}, 0)) THEN '~' ELSE t{k} END AS m{k}")
-    pooled = listed("m", LEVELS)
-    template = " || ".join(f"'/' || m{k}" for k in range(1, LEVELS + 1))
+    for k in ks:
+        up = f"(b{k - 1} / nullif(n{k - 1}, 0))"
+        merged.append(f"CASE WHEN n{k} > 0 AND n{k} < n{k - 1} AND abs(b{k} / nullif(n{k}, 0) - {up}) <= {real(APART)} * sqrt({up} * (1 - {up}) / nullif(n{k}, 0)) THEN '~' ELSE t{k} END AS m{k}")
+    pooled = listed("host", *ms)
+    template = " || ".join(f"'/' || m{k}" for k in ks)
     parts += [
-        f"f AS (SELECT *, {', '.join(merged)} FROM e)",
-        "g AS (SELECT coalesce(CAST(sum(b) AS DOUBLE) / nullif(CAST(sum(n) AS DOUBLE), 0), 0) AS rate FROM e)",
-        f"h AS (SELECT {pooled}, (CAST(sum(b) AS DOUBLE) + any_value(rate) * CAST({prior} AS DOUBLE)) / (CAST(sum(n) AS DOUBLE) + CAST({prior} AS DOUBLE)) AS purity FROM f, g GROUP BY {pooled})",
-        f"w AS (SELECT {keys}, {template} AS template, purity FROM f JOIN h USING ({pooled}))",
+        f"f AS (SELECT {listed('host', *ts)}, pages, n, b, {listed(*merged)}, CAST(round(prior * 1e9) AS HUGEINT) * pages AS share FROM {before})",
+        f"o AS (SELECT {pooled}, {template} AS template, round(({real('sum(b)')} + {real('sum(share)')} / {real('sum(pages)')} / {real('1e9')} * {real(prior)}) / ({real('sum(n)')} + {real(prior)}), 6) AS purity FROM f GROUP BY {pooled})",
+        f"w AS (SELECT {listed('host', *ts)}, template, purity FROM f JOIN o USING ({pooled}))",
+        f"x AS (SELECT {place}, template, purity FROM lt{levels} JOIN w USING ({listed('host', *ts)}))",
     ]
     return (
-        "WITH " + ", ".join(parts) + f" SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= CAST({reject} AS DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict, template, purity "
-        f"FROM r{LEVELS} JOIN w USING ({keys})"
+        "WITH " + ", ".join(parts) + f" SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {real(reject)} THEN 'block' ELSE 'allow' END) AS verdict, template, purity "
+        f"FROM r JOIN x USING ({place})"
     )

@@ -173,9 +173,97 @@ def test_template_is_rejected(spark):
     rules = [("bad.com", "/ads/1", "block"), ("bad.com", "/news/1", "allow")]
     urls = [f"http://bad.com/{s}/{k}{i}" for s in ("ads", "news") for k in (1, 2) for i in range(40)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = url_tree.judge(df, rules).toPandas().set_index("page_id")
+    got = url_tree.judge(df, rules).toPandas().set_index("page_id").sort_index()
     assert got.verdict.tolist() == ["block"] * 80 + ["allow"] * 80
-    assert got.template[0] == "/ads/*/" and got.template[159] == "/news/*/"
+    assert got.template[0] == "/ads/*//" and got.template[159] == "/news/*//"
+
+
+def brute_purity(pages, levels, share=0.02, support=3, prior=4.0):
+    """Template and purity of each of ``(host, path, label)``, node by node."""
+    from collections import Counter, defaultdict
+
+    segs = []
+    for _, path, _ in pages:
+        parts = path.removeprefix("/").split("/")
+        own = [parts[k] if k < len(parts) else "" for k in range(levels)]
+        own[-1] += "/**" if len(parts) > levels else ""
+        segs.append(own)
+
+    def generalised(top, also=None):
+        out = [[] for _ in pages]
+        for k in range(levels):
+            count = Counter((top[i], *out[i], segs[i][k]) for i in range(len(pages)))
+            whole = Counter((top[i], *out[i]) for i in range(len(pages)))
+            new = []
+            for i in range(len(pages)):
+                n = count[(top[i], *out[i], segs[i][k])]
+                keep = n >= support and n >= whole[(top[i], *out[i])] * share or segs[i][k] == "" or (also and also[i][k] == segs[i][k])
+                new.append(segs[i][k] if keep else "*")
+            out = [o + [x] for o, x in zip(out, new)]
+        return out
+
+    hosts = [p[0] for p in pages]
+    g = generalised([""] * len(pages))
+    t = generalised(hosts, g)
+
+    def tally(keys):
+        found = defaultdict(lambda: [0, 0])
+        for key, (_, _, label) in zip(keys, pages):
+            found[key][0] += label is not None
+            found[key][1] += label == "block"
+        return found
+
+    over, own = ([tally([(*h[:w], *x[:k]) for h, x in zip([(p[0],) for p in pages], rows)]) for k in range(levels + 1)] for w, rows in ((0, g), (1, t)))
+    n, b = over[0][()]
+    rate = b / n if n else 0.0
+    odds = lambda r: min(max(r, 1e-6), 1 - 1e-6) / (1 - min(max(r, 1e-6), 1 - 1e-6))
+    leaf, merged = [], []
+    for i in range(len(pages)):
+        z, h, expects = rate, rate, rate
+        names = []
+        for k in range(levels + 1):
+            n, b = own[k][(hosts[i], *t[i][:k])]
+            if k:
+                gn, gb = over[k][tuple(g[i][:k])]
+                below = (gb + prior * z) / (gn + prior)
+                o = odds(h) * odds(below) / odds(z)
+                z, expects = below, o / (1 + o)
+                un, ub = own[k - 1][(hosts[i], *t[i][: k - 1])]
+                alike = 0 < n < un and abs(b / n - ub / un) <= 1.96 * (ub / un * (1 - ub / un) / n) ** 0.5
+                names.append("~" if alike else t[i][k - 1])
+            h = (b + prior * expects) / (n + prior)
+        leaf.append(expects)
+        merged.append((hosts[i], *names))
+    pool = defaultdict(lambda: [0, 0, 0, 0.0])
+    for key, x, (_, _, label) in zip(merged, leaf, pages):
+        p = pool[key]
+        p[0], p[1], p[2], p[3] = p[0] + (label is not None), p[1] + (label == "block"), p[2] + 1, p[3] + x
+    return [("".join("/" + x for x in key[1:]), (pool[key][1] + prior * pool[key][3] / pool[key][2]) / (pool[key][0] + prior)) for key in merged]
+
+
+@pytest.mark.parametrize("levels", [2, 4])
+def test_purity_by_brute_force(spark, levels):
+    """Templates, purities and verdicts; the tree decides pages without a rule."""
+    got = url_tree.judge(spark.read.parquet(f"{SF}/pages.parquet"), levels=levels).toPandas()
+    verdicts = {h + p: v for h, p, v in url_tree.RULES}
+    labels = [verdicts[r] if r else None for r in got.rule]
+    expected = brute_purity(list(zip(got.host, got.path, labels)), levels)
+    assert got.template.tolist() == [t for t, _ in expected]
+    assert got.purity.tolist() == pytest.approx([x for _, x in expected], abs=2e-6)
+    open_ = got[got.rule.isna()]
+    assert set(open_.verdict) == {"allow", "block"}
+    assert (open_.verdict == "block").tolist() == (open_.purity >= 0.6).tolist()
+
+
+def test_other_hosts_are_evidence(spark):
+    """A host without labels is judged by its paths on others, and its own
+    labels outweigh them."""
+    rules = [("a.com", "/ads/", "block"), ("a.com", "/news/", "allow"), ("c.com", "/ads/", "allow")]
+    urls = [f"http://{h}/{s}/{h[0]}{i}" for h in ("a.com", "b.com", "c.com") for s in ("ads", "news") for i in range(60 if h == "a.com" else 20)]
+    got = url_tree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).toPandas()
+    assert set(got[got.host.eq("b.com") & got.path.str.startswith("/ads")].verdict) == {"block"}
+    assert set(got[got.host.eq("b.com") & got.path.str.startswith("/news")].verdict) == {"allow"}
+    assert (got[got.host.eq("c.com") & got.path.str.startswith("/ads")].purity < 0.6).all()
 
 
 def test_oracles(spark):
