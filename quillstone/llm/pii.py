@@ -63,7 +63,7 @@ _MAIL = r"@[^@]*\.[A-Za-z]{2,12}$"
 _PHONE = r"[0-9]{3}[ .-]?[0-9]{4}$"
 #: Words that announce a span, and words that announce other numbers.
 _GOOD_WORDS = "card|visa|tel|phone|call|mail|contact|addr|host|server"
-_BAD_WORDS = r"passw|token|key|secret|hash|uuid|version|build|order|invoice|price|\b(?:id|no|v|ref|isbn|sku)\W*$|[$€£]\s?$"
+_BAD_WORDS = r"\b(?:passw\w*|token|key|secret|hash|uuid|version|build|order|invoice|price|id|no|v|ref|isbn|sku)\W{0,4}$|[$€£]\s?$"
 _SPAN = "array<struct<start:int,k:int,end:int,value:string,before:string,after:string>>"
 _JUDGED = "array<struct<start:int,k:int,end:int,f:array<int>,label:int>>"
 FEATURES = 11
@@ -190,17 +190,18 @@ def _context(x: Column) -> list[Column]:
 
 
 def _features(k: Column, plain: Column, context: list[Column]) -> Column:
-    """Small whole numbers on the format and the context of a span."""
+    """Small whole numbers on the format and the context of a span.  Digits of
+    an address and dots of other than an IP address say nothing."""
     digits = _digits(plain)
     return F.array(
         k,
-        F.least(F.length(digits), F.lit(20)),
-        _luhn(digits).cast("int"),
-        F.least(F.length(F.regexp_replace(plain, r"[^.]", "")), F.lit(8)),
+        F.when(k >= 2, F.least(F.length(digits), F.lit(20))).otherwise(0),
+        F.when(k == 2, _luhn(digits).cast("int")).otherwise(0),
+        F.when(k == 1, F.least(F.length(F.regexp_replace(plain, r"[^.]", "")), F.lit(8))).otherwise(0),
         plain.rlike(_IP).cast("int"),
         plain.rlike(_MAIL).cast("int"),
         plain.rlike(_PHONE).cast("int"),
-        F.least(F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.lit(3)),
+        F.when(k == 0, F.lit(0)).otherwise(F.least(F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.lit(3))),
         *context,
     )
 
