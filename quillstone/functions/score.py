@@ -19,7 +19,7 @@ _MIXED = rf"(?U)(?<!\S)\S*?(?:[{_L}][0-9]|[0-9][{_L}])\S*+"
 _SHOUTED = rf"(?U)(?<!\S)[{_E}]*+[A-ZĐÀ-Ỵ]{{14,}}+[{_E}]*+(?!\S)"
 _ENDLESS = _AT + rf"[{_E}]*+\p{{L}}{{18,}}+[{_E}]*+(?!\S)"
 _QUOTED = _AT + rf"[{_E}]*+(?>[^\s{_E}][^\s'’]*+['’])[{_E}]*+[^\s{_E}]"
-_COMMON = rf"(?iuU)(?<!\S)[{_E}]*+(?:{'|'.join(V.QUALITY_WORDS)})[{_E}]*+(?!\S)"
+_COMMON = rf"(?U)(?<!\S)[{_E}]*+(?:{'|'.join(V.QUALITY_WORDS)})[{_E}]*+(?!\S)"
 
 
 def _clamp(c: Column) -> Column:
@@ -34,7 +34,10 @@ def text_quality(c: Column | str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
     def of_alpha(text: Column, n: Column) -> Column:
-        mixed, shouted, endless, quoted, common = (count(text, p) for p in (_MIXED, _SHOUTED, _ENDLESS, _QUOTED, _COMMON))
+        # a look for what a kind of token has spares most texts its pattern
+        hints = [(r"[0-9]", _MIXED), (r"[A-ZĐÀ-Ỵ]{14}", _SHOUTED), (r"\p{L}{18}", _ENDLESS), (r"['’]", _QUOTED)]
+        mixed, shouted, endless, quoted = (F.when(text.rlike(hint), count(text, p)).otherwise(0) for hint, p in hints)
+        common = count(F.lower(text), _COMMON)
         marks = T.count_in(text, V.VIETNAMESE_LOWER + V.VIETNAMESE_UPPER) / F.greatest(F.lit(1), F.length(T.letters_only(text)))
         counts = F.array(mixed, shouted, endless, quoted, common)
 

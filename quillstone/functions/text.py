@@ -211,13 +211,19 @@ def is_garbage(c: Column | str) -> Column:
 
 
 def hallucinates(c: Column | str) -> Column:
-    """Over three words, one of them more than 30 % of all."""
+    """Over three words, one of them more than 30 % of all: the longest run of
+    the sorted words."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(acc["w"] == w, acc["run"] + 1).otherwise(1)
+        return F.struct(w.alias("w"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
     def test(own: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(own), lambda w: F.size(F.filter(own, lambda x: x == w))))
+        most = F.aggregate(own, start, step, lambda acc: acc["most"])
         return (F.size(own) > 3) & (most / F.size(own) > 0.3)
 
-    return let(words(c), test)
+    return let(F.sort_array(words(c)), test)
 
 
 def is_artifact(c: Column | str) -> Column:

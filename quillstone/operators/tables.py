@@ -34,39 +34,47 @@ def _row_like(c: Column, n: Column) -> Column:
 
 def is_table_block(lines: Column | str) -> Column:
     """If lines look like a table: header words, like lengths, columns or numbers."""
-    lines = T.col(lines)
+    return T.let(T.col(lines), _block_like)
+
+
+def _block_like(lines: Column) -> Column:
     n = F.size(lines)
     low = F.lower(F.array_join(lines, "\n"))
-    headers = sum((F.contains(low, F.lit(k)).cast("int") for k in V.HEADER_KEYWORDS), F.lit(0))
     sizes = F.transform(lines, F.length)
     mean = F.aggregate(sizes, F.lit(0), lambda a, x: a + x) / n
-    alike = F.size(F.filter(sizes, lambda x: (x >= mean * 0.4) & (x <= mean * 1.6)))
     columns = F.size(F.filter(lines, lambda x: F.size(T.words(x)).between(2, 10)))
-    numbers = F.size(F.regexp_extract_all(low, F.lit("[0-9]+"), F.lit(0)))
-    share = numbers / F.greatest(F.lit(1), F.size(T.words(low)))
-    return (n >= 2) & (
-        (headers >= 2) | ((alike >= n * 0.5) & (mean < 200)) | (columns >= n * 0.6) | ((numbers > 0) & share.between(0.15, 0.8) & (n >= 3))
-    )
+
+    def like_lengths(mean: Column) -> Column:
+        return (mean < 200) & (F.size(F.filter(sizes, lambda x: (x >= mean * 0.4) & (x <= mean * 1.6))) >= n * 0.5)
+
+    def by_text(low: Column) -> Column:
+        headers = sum((F.contains(low, F.lit(k)).cast("int") for k in V.HEADER_KEYWORDS), F.lit(0))
+        numbers = F.regexp_count(low, F.lit("[0-9]+"))
+        share = numbers / F.greatest(F.lit(1), F.size(T.words(low)))
+        return (headers >= 2) | ((numbers > 0) & share.between(0.15, 0.8) & (n >= 3))
+
+    return (n >= 2) & (T.let(mean, like_lengths) | (columns >= n * 0.6) | T.let(low, by_text))
 
 
 def clean_block(lines: Column | str) -> Column:
     """Without lines that repeat one of the three before them in whole or in
-    part; the first line stays."""
-    lines = T.col(lines)
-
-    def repeats(cur: Column, prev: Column) -> Column:
-        return T.let(T.words(cur), lambda a: T.let(T.words(prev), lambda b: alike(cur, prev, a, b)))
+    part; the first line stays.  Each line is split into words once."""
 
-    def alike(cur: Column, prev: Column, a: Column, b: Column) -> Column:
+    def alike(cur: Column, prev: Column) -> Column:
+        a, b = cur["w"], prev["w"]
         shared = F.size(F.filter(a, lambda w: F.array_contains(b, w)))
         part = F.contains(F.array_join(b, " "), F.array_join(a, " ")) | (shared >= F.greatest(F.lit(2), F.size(a) - 1))
-        return (T.strip(cur) == T.strip(prev)) | ((F.size(a) > 0) & (F.size(a) <= F.size(b)) & part)
+        return (cur["s"] == prev["s"]) | ((F.size(a) > 0) & (F.size(a) <= F.size(b)) & part)
+
+    def clean(rows: Column) -> Column:
+        def keep(x: Column, i: Column) -> Column:
+            before = F.slice(rows, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
+            return (i == 0) | ~F.exists(before, lambda p: alike(x, p))
 
-    def keep(x: Column, i: Column) -> Column:
-        before = F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        return (i == 0) | ~F.exists(before, lambda p: repeats(x, p))
+        return F.transform(F.filter(rows, keep), lambda x: x["x"])
 
-    return F.filter(lines, keep)
+    rows = F.transform(T.col(lines), lambda x: F.struct(x.alias("x"), T.strip(x).alias("s"), T.words(x).alias("w")))
+    return T.let(rows, clean)
 
 
 def table_islands(docs: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:

@@ -238,10 +238,18 @@ _add(
     lambda s, d: layout.grid_cells(_separators(s, d), WIDTH, HEIGHT).select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "x1", "y1", "x2", "y2"),
     _B + f", seps AS ({_seps}), alls AS (SELECT * FROM seps UNION ALL {_edges}), sp AS (SELECT *, lead(center) OVER w AS nxt, row_number() OVER w - 1 AS k FROM alls WINDOW w AS (PARTITION BY page_id, axis ORDER BY center)) SELECT y.page_id, y.k AS row, x.k AS col, x.center AS x1, y.center AS y1, x.nxt AS x2, y.nxt AS y2 FROM sp y JOIN sp x ON x.page_id = y.page_id AND x.axis = 'x' AND y.axis = 'y' WHERE x.nxt - x.center >= 10 AND y.nxt - y.center >= 10",
 )
+
+
+def _cells_of(s: SparkSession, d: str) -> DataFrame:
+    """Each row of a page with its cells, as many as it has, by their columns."""
+    found = layout.anchor_rows(views.boxes(s, d)).groupBy("page_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "ord"))).alias("c"))
+    return found.select("page_id", "row", F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["col"], c["ord"])), ",").alias("cells"))
+
+
 _add(
     "cell_grid",
-    lambda s, d: layout.anchor_rows(views.boxes(s, d)).groupBy("page_id", "row").pivot("col", [1, 2, 3]).agg(F.first("ord")).select("page_id", "row", *[F.coalesce(F.col(str(c)), F.lit(-1)).alias(f"c{c}") for c in (1, 2, 3)]),
-    ORACLES["anchor_rows"].replace("SELECT page_id, ord, row, row_number()", "SELECT page_id, row, coalesce(max(CASE WHEN col = 1 THEN ord END), -1) AS c1, coalesce(max(CASE WHEN col = 2 THEN ord END), -1) AS c2, coalesce(max(CASE WHEN col = 3 THEN ord END), -1) AS c3 FROM (SELECT page_id, ord, row, row_number()") + ") z GROUP BY page_id, row",
+    _cells_of,
+    ORACLES["anchor_rows"].replace("SELECT page_id, ord, row, row_number()", "SELECT page_id, row, string_agg(col || ':' || ord, ',' ORDER BY col) AS cells FROM (SELECT page_id, ord, row, row_number()") + ") z GROUP BY page_id, row",
 )
 
 
@@ -269,42 +277,47 @@ _add("is_table_line", lambda s, d: views.lines(s, d).select("doc_id", "line_no",
 
 
 def _mixed(s: SparkSession, d: str) -> DataFrame:
-    """Texts with short lines after the first half: each fourth word a line."""
-    t = F.regexp_replace(F.substring(F.col("text"), 1, 400), r"(\S+ \S+ \S+) ", "$1\n")
-    return views.docs(s, d).select("doc_id", F.concat(t, F.lit("\nA 1\nA 1\nB 2\nTên  Số\n1 Hà Nội\n\n"), F.substring(F.col("text"), 1, 60)).alias("text"))
+    """Whole texts with each fourth word on a line of its own, and a table."""
+    t = F.regexp_replace(F.col("text"), r"(\S+ \S+ \S+) ", "$1\n")
+    return views.docs(s, d).select("doc_id", F.concat(t, F.lit("\nA 1\nA 1\nB 2\nTên  Số\n1 Hà Nội\n\nthe end")).alias("text"))
+
+
+_MIX = r"SELECT doc_id, regexp_replace(text, '(\S+ \S+ \S+) ', '\1' || chr(10), 'g') || chr(10) || array_to_string(['A 1', 'A 1', 'B 2', 'Tên  Số', '1 Hà Nội', '', 'the end'], chr(10)) AS text FROM documents"
+_para = f"SELECT doc_id, para, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS text FROM (SELECT doc_id, para, {S.lines('p')} AS l FROM (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS para, unnest(p) AS p FROM (SELECT doc_id, str_split(text, chr(10)||chr(10)) AS p FROM ({_MIX}) mx) a) b) c WHERE len(l) >= 3"
+_run = "PARTITION BY doc_id, para, run"
+_isl = f"SELECT * FROM (SELECT *, count(*) OVER ({_run}) AS cnt, CAST(min(k) OVER ({_run}) AS INTEGER) AS first_line, CAST(sum(length(text)) OVER ({_run}) AS DOUBLE) / count(*) OVER ({_run}) AS mean, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2, lag(text, 3) OVER w AS p3 FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, para, tl ORDER BY k) AS run FROM (SELECT *, {_tline} AS tl FROM ({_para}) d) e) f WHERE tl WINDOW w AS ({_run} ORDER BY k)) g WHERE cnt >= 3"
+_a = S.words("text")
+
+
+def _repeats(prev: str) -> str:
+    b = S.words(prev)
+    return f"coalesce({S.strip('text')} = {S.strip(prev)} OR (len({_a}) > 0 AND len({_a}) <= len({b}) AND (contains({S.join(b)}, {S.join(_a)}) OR len(list_filter({_a}, lambda w: list_contains({b}, w))) >= greatest(2, len({_a}) - 1))), FALSE)"
 
 
-_MIX = r"SELECT doc_id, regexp_replace(substr(text, 1, 400), '(\S+ \S+ \S+) ', '\1' || chr(10), 'g') || chr(10) || array_to_string(['A 1', 'A 1', 'B 2', 'Tên  Số', '1 Hà Nội', '', ''], chr(10)) || substr(text, 1, 60) AS text FROM documents"
-_para = f"SELECT doc_id, para, l, i - 1 AS k, l[i] AS text FROM (SELECT doc_id, para, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, CAST(j - 1 AS INTEGER) AS para, {S.lines('p[j]')} AS l FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS j FROM (SELECT doc_id, str_split(text, chr(10)||chr(10)) AS p FROM ({_MIX}) mx) a) b) c WHERE len(l) >= 3)"
-_isl = f"SELECT doc_id, para, CAST(min(k) AS INTEGER) AS first_line, list(text ORDER BY k) AS lines FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id, para, tl ORDER BY k) AS run FROM (SELECT *, {_tline} AS tl FROM ({_para}) d) e) f WHERE tl GROUP BY doc_id, para, run HAVING count(*) >= 3"
+_rep = " OR ".join(map(_repeats, ("p1", "p2", "p3")))
+_islands = f"SELECT doc_id, para, first_line, any_value(mean) AS mean, count(*) AS n, string_agg(text, chr(10) ORDER BY k) AS j, count(*) FILTER (WHERE length(text) >= mean * 0.4 AND length(text) <= mean * 1.6) AS near, count(*) FILTER (WHERE len({_a}) BETWEEN 2 AND 10) AS cols, string_agg(text, chr(10) ORDER BY k) FILTER (WHERE NOT ({_rep})) AS cleaned, count(*) FILTER (WHERE NOT ({_rep})) AS kept FROM ({_isl}) i GROUP BY doc_id, para, first_line"
 _add(
     "table_islands",
     lambda s, d: tables.table_islands(_mixed(s, d)).select("doc_id", "para", "first_line", F.array_join("lines", "\n").alias("block")),
-    f"SELECT doc_id, para, first_line, array_to_string(lines, chr(10)) AS block FROM ({_isl}) g",
+    f"SELECT doc_id, para, first_line, string_agg(text, chr(10) ORDER BY k) AS block FROM ({_isl}) i GROUP BY doc_id, para, first_line",
 )
-_j = "array_to_string(lines, chr(10))"
-_mean = "(list_sum(list_transform(lines, lambda x: length(x))) / len(lines))"
-_hdr = " + ".join(f"contains(lower({_j}), {q(k)})::INT" for k in V.HEADER_KEYWORDS)
-_num = f"len(regexp_extract_all(lower({_j}), '[0-9]+'))"
-_block = f"(len(lines) >= 2 AND (({_hdr}) >= 2 OR (len(list_filter(lines, lambda x: length(x) >= {_mean} * 0.4 AND length(x) <= {_mean} * 1.6)) >= len(lines) * 0.5 AND {_mean} < 200) OR len(list_filter(lines, lambda x: len({S.words('x')}) BETWEEN 2 AND 10)) >= len(lines) * 0.6 OR ({_num} > 0 AND {_num} / greatest(1, len({S.words(_j)})) BETWEEN 0.15 AND 0.8 AND len(lines) >= 3)))"
+_hdr = " + ".join(f"contains(lower(j), {q(k)})::INT" for k in V.HEADER_KEYWORDS)
+_num = "len(regexp_extract_all(lower(j), '[0-9]+'))"
+_block = f"(n >= 2 AND (({_hdr}) >= 2 OR (near >= n * 0.5 AND mean < 200) OR cols >= n * 0.6 OR ({_num} > 0 AND {_num} / greatest(1, len({S.words('j')})) BETWEEN 0.15 AND 0.8 AND n >= 3)))"
 _add(
     "is_table_block",
     lambda s, d: tables.table_islands(_mixed(s, d)).select("doc_id", "para", "first_line", tables.is_table_block("lines").alias("result")),
-    f"SELECT doc_id, para, first_line, {_block} AS result FROM ({_isl}) g",
+    f"SELECT doc_id, para, first_line, {_block} AS result FROM ({_islands}) g",
 )
-_prev, _cur = "lines[j]", "lines[i]"
-_a, _b = S.words(_cur), S.words(_prev)
-_rep = f"({S.strip(_cur)} = {S.strip(_prev)} OR (len({_a}) > 0 AND len({_a}) <= len({_b}) AND (contains({S.join(_b)}, {S.join(_a)}) OR len(list_filter({_a}, lambda w: list_contains({_b}, w))) >= greatest(2, len({_a}) - 1))))"
-_clean = f"list_transform(list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR len(list_filter(range(greatest(1, i - 3), i), lambda j: {_rep})) = 0), lambda i: lines[i])"
 _add(
     "table_row_dedupe",
     lambda s, d: tables.table_islands(_mixed(s, d)).select("doc_id", "para", "first_line", F.array_join(tables.clean_block("lines"), "\n").alias("block")),
-    f"SELECT doc_id, para, first_line, array_to_string({_clean}, chr(10)) AS block FROM ({_isl}) g",
+    f"SELECT doc_id, para, first_line, cleaned AS block FROM ({_islands}) g",
 )
 _add(
     "find_tables",
     lambda s, d: tables.find_tables(_mixed(s, d)).select("doc_id", "para", F.col("index").cast("long").alias("index"), "table_text"),
-    f"SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id, para ORDER BY first_line) - 1 AS index, array_to_string(c, chr(10)) AS table_text FROM (SELECT *, {_clean} AS c FROM ({_isl}) g WHERE {_block}) h WHERE len(c) >= 3",
+    f"SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id, para ORDER BY first_line) - 1 AS index, cleaned AS table_text FROM ({_islands}) g WHERE {_block} AND kept >= 3",
 )
 
 
@@ -332,7 +345,7 @@ _add(
     _R + "SELECT doc_id, CAST(len(r) AS INTEGER) AS n_rows, array_to_string(list_transform(r, lambda x: array_to_string(x, chr(9))), chr(10)) AS tsv, CASE WHEN len(r) = 0 THEN 'empty' WHEN len(r) > 1 AND len(list_distinct(list_transform(r, lambda x: len(x)))) <= 2 AND len(r[1]) > 1 THEN 'structured' ELSE 'list' END AS kind FROM p",
 )
 def _vertical(s: SparkSession, d: str) -> DataFrame:
-    """Each region's nations as a table with one cell a line."""
+    """Each table with one cell a line."""
     t = views.table_texts(s, d).select("doc_id", F.regexp_replace("text", r" {2,}", "\n").alias("text"))
     return t.select("doc_id", tables.tsv(tables.vertical_rows("text")).alias("tsv"), F.size(tables.parse("text")).alias("n_rows"))
 

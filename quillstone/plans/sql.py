@@ -100,8 +100,8 @@ def garbage(x: str) -> str:
 
 def hallucinates(x: str) -> str:
     w = words(x)
-    most = f"list_max(list_transform(list_distinct({w}), lambda a: len(list_filter({w}, lambda b: b = a))))"
-    return f"(len({w}) > 3 AND {most} / len({w}) > 0.3)"
+    most = f"list_max(map_values(list_aggregate({w}, 'histogram')))"
+    return f"(len({w}) > 3 AND coalesce({most} / len({w}) > 0.3, FALSE))"
 
 
 def artifact(x: str) -> str:

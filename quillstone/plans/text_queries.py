@@ -130,22 +130,22 @@ _add(
 )
 
 
-# Edit distances, on texts without marks: DuckDB counts bytes.
+# Edit distances line by line, without marks: DuckDB counts bytes.
 def _plain(c: str):
-    return F.regexp_replace(F.lower(F.substring(F.col(c), 1, 40)), "[^a-z ]", "")
+    return F.regexp_replace(F.lower(F.col(c)), "[^a-z ]", "")
 
 
 def _cased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.docs(spark, sf_dir)
-    return d.select("doc_id", _plain("text").alias("a"), F.replace(_plain("text"), F.lit("e"), F.lit("o")).alias("b"))
+    d = views.lines(spark, sf_dir)
+    return d.select("doc_id", "line_no", _plain("text").alias("a"), F.replace(_plain("text"), F.lit("e"), F.lit("o")).alias("b"))
 
 
-_PLAIN = "SELECT doc_id, a, replace(a, 'e', 'o') AS b FROM (SELECT doc_id, regexp_replace(lower(substr(text, 1, 40)), '[^a-z ]', '', 'g') AS a FROM documents) p0"
-_add("levenshtein", lambda s, d: _cased(s, d).select("doc_id", F.levenshtein("a", "b").cast("long").alias("distance")), f"SELECT doc_id, levenshtein(a, b) AS distance FROM ({_PLAIN}) p")
-_add("cer", lambda s, d: _cased(s, d).select("doc_id", F.round(SC.cer("b", "a"), 6).alias("cer")), f"SELECT doc_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein(b, a) / length(a) END, 6) AS cer FROM ({_PLAIN}) p")
+_PLAIN = f"SELECT doc_id, line_no, a, replace(a, 'e', 'o') AS b FROM (SELECT doc_id, line_no, regexp_replace(lower(text), '[^a-z ]', '', 'g') AS a FROM ({views.SQL['lines']}) l0) p0"
+_add("levenshtein", lambda s, d: _cased(s, d).select("doc_id", "line_no", F.levenshtein("a", "b").cast("long").alias("distance")), f"SELECT doc_id, line_no, levenshtein(a, b) AS distance FROM ({_PLAIN}) p")
+_add("cer", lambda s, d: _cased(s, d).select("doc_id", "line_no", F.round(SC.cer("b", "a"), 6).alias("cer")), f"SELECT doc_id, line_no, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein(b, a) / length(a) END, 6) AS cer FROM ({_PLAIN}) p")
 _wa, _wb = S.words("a"), S.words("b")
-_add("wer_compat", lambda s, d: _cased(s, d).select("doc_id", F.round(SC.wer_compat("b", "a"), 6).alias("wer")), f"SELECT doc_id, round(CASE WHEN len({_wa}) = 0 THEN CASE WHEN len({_wb}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein({S.join(_wb)}, {S.join(_wa)}) / len({_wa}) END, 6) AS wer FROM ({_PLAIN}) p")
-_add("similarity", lambda s, d: _cased(s, d).select("doc_id", F.round(udf.similarity("a", "b"), 6).alias("ratio")))
+_add("wer_compat", lambda s, d: _cased(s, d).select("doc_id", "line_no", F.round(SC.wer_compat("b", "a"), 6).alias("wer")), f"SELECT doc_id, line_no, round(CASE WHEN len({_wa}) = 0 THEN CASE WHEN len({_wb}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE levenshtein({S.join(_wb)}, {S.join(_wa)}) / len({_wa}) END, 6) AS wer FROM ({_PLAIN}) p")
+_add("similarity", lambda s, d: _cased(s, d).select("doc_id", "line_no", F.round(udf.similarity("a", "b"), 6).alias("ratio")))
 
 
 # Words against word lists.
@@ -153,7 +153,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.docs(spark, sf_dir).select(F.explode(F.filter(F.split(_plain("text"), " "), lambda w: F.length(w) >= 2)).alias("word"))
 
 
-_WORDS = "SELECT DISTINCT word FROM (SELECT unnest(str_split(a, ' ')) AS word FROM (SELECT regexp_replace(lower(substr(text, 1, 40)), '[^a-z ]', '', 'g') AS a FROM documents) p0) p1 WHERE length(word) >= 2"
+_WORDS = "SELECT DISTINCT word FROM (SELECT unnest(str_split(a, ' ')) AS word FROM (SELECT regexp_replace(lower(text), '[^a-z ]', '', 'g') AS a FROM documents) p0) p1 WHERE length(word) >= 2"
 #: Known words without marks.
 PLAIN_WORDS = ["and", "been", "con", "estand", "for", "gia", "mente", "nay", "other", "sao", "thanes", "there", "tion", "und", "vers", "with"]
 _LIST = f"SELECT unnest({S.listed(PLAIN_WORDS)}) AS known"
@@ -189,18 +189,15 @@ _add(
     f"SELECT pattern, arg_max(new, src * 1000 + ord) AS new, CAST(min(src * 1000 + ord) // 1000 AS INTEGER) AS src, CAST(min(src * 1000 + ord) % 1000 AS BIGINT) AS ord FROM (SELECT 0 AS src, * FROM ({_RULES.format(k=2, w=9)}) a UNION ALL SELECT 1, * FROM ({_RULES.format(k=3, w=10)}) b) u GROUP BY pattern",
 )
 
-# Strategies.
-_LEN = f"length({S.strip('text')})"
-
-
+# Strategies, with every line as a page.
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.docs(spark, sf_dir)
-    return d.select("doc_id", F.length(T.strip(F.substring(F.col("text"), 1, 150))).alias("n"), (F.col("doc_id") * 13 % 100).alias("m"))
+    d = views.lines(spark, sf_dir)
+    return d.select("doc_id", "line_no", F.length(T.strip("text")).alias("n"), ((F.col("doc_id") * 13 + F.col("line_no")) % 100).alias("m"))
 
 
-_PAGED = f"SELECT doc_id, length({S.strip('substr(text, 1, 150)')}) AS n, doc_id * 13 % 100 AS m FROM documents"
+_PAGED = f"SELECT doc_id, line_no, length({S.strip('text')}) AS n, (doc_id * 13 + line_no) % 100 AS m FROM ({views.SQL['lines']}) l"
 _STRATEGY = "CASE WHEN n >= 120 THEN CASE WHEN m >= 20 THEN 'mixed' ELSE 'direct_text' END WHEN n >= 40 THEN 'ocr_fallback' WHEN m >= 80 THEN 'mixed' ELSE 'scanned_ocr' END"
-_add("page_strategy", lambda s, d: _paged(s, d).select("doc_id", pages.strategy("n", "m").alias("strategy")), f"SELECT doc_id, {_STRATEGY} AS strategy FROM ({_PAGED}) p")
+_add("page_strategy", lambda s, d: _paged(s, d).select("doc_id", "line_no", pages.strategy("n", "m").alias("strategy")), f"SELECT doc_id, line_no, {_STRATEGY} AS strategy FROM ({_PAGED}) p")
 _add(
     "strategy_hist",
     lambda s, d: _paged(s, d).groupBy(pages.strategy("n", "m").alias("strategy")).agg(F.count(F.lit(1)).alias("n")),

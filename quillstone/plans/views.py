@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 700.0, 900.0  # of the pages in the box view
+LINES = 1_000_000  # more than any document has; a line's image is numbered by both
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,27 +22,36 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("line_no"), "text")
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as the text of an image."""
+    return lines(spark, sf_dir).select((F.col("doc_id") * LINES + F.col("line_no")).alias("image_id"), "text")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    i, t = F.col("doc_id"), F.col("text")
+    """What three engines read in each image: the line itself, the line in
+    lower case but for every third, and the line with a letter confused, or for
+    every fifth a single stroke."""
+    d = images(spark, sf_dir)
+    i, t = F.col("image_id"), F.col("text")
 
     def conf(k: int):
         return (50 + (i * k) % 41).cast("double") / 100
 
     made = [
-        (0, "tesseract", F.substring(t, 1, 80), conf(7)),
-        (1, "easyocr", F.when(i % 3 == 0, F.substring(t, 1, 80)).otherwise(F.lower(F.substring(t, 1, 80))), conf(11)),
-        (2, "paddleocr", F.when(i % 5 == 0, "l").otherwise(F.substring(t, 1, 40)), conf(7)),
+        (0, "tesseract", t, conf(7)),
+        (1, "easyocr", F.when(i % 3 == 0, t).otherwise(F.lower(t)), conf(11)),
+        (2, "paddleocr", F.when(i % 5 == 0, "l").otherwise(F.replace(t, F.lit("e"), F.lit("c"))), conf(7)),
     ]
     each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(e).alias("engine"), x.alias("text"), c.alias("confidence")) for k, e, x, c in made])
-    return d.select(i.alias("image_id"), F.explode(each).alias("c")).select("image_id", "c.*")
+    return d.select("image_id", F.explode(each).alias("c")).select("image_id", "c.*")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter((F.col("l_orderkey") % 7 == 0) & (F.col("l_orderkey") < 3000))
+    """Every line item as a box; four orders make a page."""
+    rows = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") * 37 % 500, F.col("l_suppkey") * 53 % 700
     rows = rows.select(
-        (F.col("l_orderkey") % 100).alias("page_id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
+        F.shiftright("l_orderkey", 2).alias("page_id"), x.cast("double").alias("x1"), y.cast("double").alias("y1"),
         (x + 20 + F.col("l_quantity") * 2).cast("double").alias("x2"), (y + 10 + F.col("l_linenumber") * 6).cast("double").alias("y2"),
         F.col("l_discount").cast("double").alias("conf"),
     ).distinct()
@@ -55,10 +65,11 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    """Every ten customers as the text of a table."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("r"))
 
     def line(r):
-        return F.concat(r["n_name"], F.lit("  "), r["n_nationkey"].cast("string"), F.lit("  K"), (r["n_nationkey"] % 3).cast("string"))
+        return F.concat(r["c_name"], F.lit("  "), r["c_custkey"].cast("string"), F.lit("  "), r["c_mktsegment"])
 
     return rows.select("doc_id", F.concat(F.lit("Tên  Số  Loại\n"), F.array_join(F.transform("r", line), "\n")).alias("text"))
 
@@ -85,9 +96,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of each document's first 60 characters as spans of a line."""
-    w = F.split(F.substring("text", 1, 60), " ")
-    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("line_id"), F.posexplode(w).alias("ord", "text"))
+    """The words of every line as its spans."""
+    rows = images(spark, sf_dir).select(F.col("image_id").alias("line_id"), F.posexplode(F.split("text", " ")).alias("ord", "text"))
     x = (F.col("ord") * 50).cast("double")
     return rows.select("line_id", "ord", "text", x.alias("x1"), (x + 47 + F.col("ord") % 4).cast("double").alias("x2"), F.lit(11.0).alias("size"))
 
@@ -102,21 +112,23 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("engine"), (F.col("value") / 1000).alias("confidence"))
 
 
-_CONF = "CAST(50 + (doc_id*{k})%41 AS DOUBLE)/100"
+_CONF = "CAST(50 + (image_id*{k})%41 AS DOUBLE)/100"
 _BOX_X, _BOX_Y = "l_partkey*37 % 500", "l_suppkey*53 % 700"
+_LINES = "SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line_no, unnest(l) AS text FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents) ls"
+_IMAGES = f"SELECT doc_id * {LINES} + line_no AS image_id, text FROM ({_LINES}) li"
 
 #: The same views in DuckDB SQL.
 SQL = {
     "docs": "SELECT doc_id, text FROM documents",
-    "lines": "SELECT doc_id, CAST(i-1 AS BIGINT) AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l)+1)) AS i FROM (SELECT doc_id, str_split(text, chr(10)) AS l FROM documents))",
-    "cands": f"SELECT doc_id AS image_id, 0 AS ord, 'tesseract' AS engine, substr(text,1,80) AS text, {_CONF.format(k=7)} AS confidence FROM documents "
-    f"UNION ALL SELECT doc_id, 1, 'easyocr', CASE WHEN doc_id%3=0 THEN substr(text,1,80) ELSE lower(substr(text,1,80)) END, {_CONF.format(k=11)} FROM documents "
-    f"UNION ALL SELECT doc_id, 2, 'paddleocr', CASE WHEN doc_id%5=0 THEN 'l' ELSE substr(text,1,40) END, {_CONF.format(k=7)} FROM documents",
+    "lines": _LINES,
+    "cands": f"SELECT image_id, 0 AS ord, 'tesseract' AS engine, text, {_CONF.format(k=7)} AS confidence FROM ({_IMAGES}) i0 "
+    f"UNION ALL SELECT image_id, 1, 'easyocr', CASE WHEN image_id%3=0 THEN text ELSE lower(text) END, {_CONF.format(k=11)} FROM ({_IMAGES}) i1 "
+    f"UNION ALL SELECT image_id, 2, 'paddleocr', CASE WHEN image_id%5=0 THEN 'l' ELSE replace(text, 'e', 'c') END, {_CONF.format(k=7)} FROM ({_IMAGES}) i2",
     "boxes": "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY x1, y1, x2, y2, conf) AS BIGINT) AS ord, x1, y1, x2, y2, conf FROM "
-    f"(SELECT DISTINCT l_orderkey % 100 AS page_id, CAST({_BOX_X} AS DOUBLE) AS x1, CAST({_BOX_Y} AS DOUBLE) AS y1, CAST({_BOX_X} + 20 + l_quantity*2 AS DOUBLE) AS x2, "
-    f"CAST({_BOX_Y} + 10 + l_linenumber*6 AS DOUBLE) AS y2, CAST(l_discount AS DOUBLE) AS conf FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey < 3000) q",
+    f"(SELECT DISTINCT l_orderkey // 4 AS page_id, CAST({_BOX_X} AS DOUBLE) AS x1, CAST({_BOX_Y} AS DOUBLE) AS y1, CAST({_BOX_X} + 20 + l_quantity*2 AS DOUBLE) AS x2, "
+    f"CAST({_BOX_Y} + 10 + l_linenumber*6 AS DOUBLE) AS y2, CAST(l_discount AS DOUBLE) AS conf FROM lineitem) q",
     "logits": "SELECT vec_id, list_transform(range(0,8), lambda t: embedding[t*8+1 : t*8+8]) AS m FROM embeddings",
-    "texts": "SELECT n_regionkey AS doc_id, 'Tên  Số  Loại'||chr(10)||string_agg(n_name||'  '||n_nationkey||'  K'||(n_nationkey%3), chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey",
+    "texts": "SELECT c_custkey // 10 AS doc_id, 'Tên  Số  Loại'||chr(10)||string_agg(c_name||'  '||c_custkey||'  '||c_mktsegment, chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY 1",
     "garbled": "SELECT doc_id, CASE doc_id%4 WHEN 0 THEN replace(text,'e','3') WHEN 1 THEN replace(text,' t','t') WHEN 2 THEN replace(text,'a',chr(39)) ELSE text END AS text FROM documents",
     "history": "SELECT ts, event_type AS engine, value/1000 AS confidence FROM events",
 }
@@ -126,8 +138,8 @@ SQL["blocks"] = (
     f"CASE WHEN ord%6=1 THEN 'title' ELSE 'text' END AS kind, [x1+20, x1, x1+3] AS line_lefts FROM ({SQL['boxes']}) bx"
 )
 SQL["spans"] = (
-    "SELECT line_id, CAST(i-1 AS INTEGER) AS ord, l[i] AS text, CAST((i-1)*50 AS DOUBLE) AS x1, CAST((i-1)*50+47+(i-1)%4 AS DOUBLE) AS x2, 11.0::DOUBLE AS size FROM "
-    "(SELECT line_id, l, unnest(range(1, len(l)+1)) AS i FROM (SELECT doc_id AS line_id, str_split(substr(text,1,60),' ') AS l FROM documents))"
+    "SELECT line_id, ord, text, CAST(ord*50 AS DOUBLE) AS x1, CAST(ord*50+47+ord%4 AS DOUBLE) AS x2, 11.0::DOUBLE AS size FROM "
+    f"(SELECT image_id AS line_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord, unnest(l) AS text FROM (SELECT image_id, str_split(text, ' ') AS l FROM ({_IMAGES}) im) sl) sp"
 )
 SQL["pages"] = f"SELECT *, CAST(line_no//4 + 1 AS BIGINT) AS page_num, line_no%4 AS ord FROM ({SQL['lines']}) ln"
 
