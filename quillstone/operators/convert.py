@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quillstone.functions import text as T
 from quillstone.operators import layout, pages, tables
@@ -26,10 +27,11 @@ def blocks(lines: DataFrame, found: DataFrame | None, width: float) -> DataFrame
     rows = _keyed(lines)
     if found is not None:
         rows = layout.outside(rows, _keyed(found))
-    ids = rows.select("page_id").distinct().withColumn("_key", F.xxhash64("page_id"))
-    keyed = rows.join(ids, "page_id").withColumn("page_id", F.col("_key")).drop("_key", "doc_id", "page_num")
-    merged = layout.merge_lines(keyed, width).withColumnRenamed("page_id", "_key")
-    return merged.join(ids, "_key").select("page_id.*", F.col("block").alias("ord"), *layout.BOX, "text", "font_size", "is_bold", "kind")
+    # both ids as one text, which tells any two pages apart
+    kind = T_.StructType([rows.schema["doc_id"], rows.schema["page_num"]])
+    keyed = rows.withColumn("page_id", F.to_json("page_id")).drop("doc_id", "page_num")
+    merged = layout.merge_lines(keyed, width).withColumn("page_id", F.from_json("page_id", kind))
+    return merged.select("page_id.*", F.col("block").alias("ord"), *layout.BOX, "text", "font_size", "is_bold", "kind")
 
 
 def strategies(lines: DataFrame, seen: DataFrame, recognized: DataFrame | None = None, callback: bool = True) -> DataFrame:

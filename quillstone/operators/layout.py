@@ -391,5 +391,6 @@ def merge_lines(lines: DataFrame, width: float) -> DataFrame:
             rows.append((page, k, *b["box"], b["text"], b["size"], b["bold"], kind, len(b["lefts"])))
         return pd.DataFrame(rows, columns=["page_id", "block", *BOX, "text", "font_size", "is_bold", "kind", "n_lines"])
 
-    schema = "page_id long, block long, x1 double, y1 double, x2 double, y2 double, text string, font_size double, is_bold boolean, kind string, n_lines long"
+    kind = lines.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, block long, x1 double, y1 double, x2 double, y2 double, text string, font_size double, is_bold boolean, kind string, n_lines long"
     return lines.groupBy("page_id").applyInPandas(run, schema)

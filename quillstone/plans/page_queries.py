@@ -158,7 +158,12 @@ _add(
     "(SELECT b.*, f.block, f.x1 AS px1, f.y1 AS py1, f.x2 AS px2, f.y2 AS py2, f.n, (abs(f.x1 - b.x1) <= 24 AND b.y1 - f.y2 BETWEEN 0 AND 10 AND abs((f.x2 - f.x1) - (b.x2 - b.x1)) <= 80) AS j FROM f JOIN boxes_v b ON b.page_id = f.page_id AND b.ord = f.ord + 1) z) "
     "SELECT page_id, block, x1, y1, x2, y2, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id, block ORDER BY ord DESC) AS rk FROM f) l WHERE rk = 1",
 )
-_add("nms", lambda s, d: layout.nms(views.boxes(s, d)).select("page_id", "ord"))
+_apart = f"len(list_filter(acc, lambda a: list_transform([x[1]], lambda b: {S.iou('a', 'b')})[1] > 0.3)) = 0"
+_add(
+    "nms",
+    lambda s, d: layout.nms(views.boxes(s, d)).select("page_id", "ord"),
+    _B + f"SELECT page_id, unnest(kept).ord AS ord FROM (SELECT page_id, list_reduce(l, lambda acc, x: CASE WHEN {_apart} THEN list_concat(acc, x) ELSE acc END) AS kept FROM (SELECT page_id, list([bx] ORDER BY bx.conf DESC, bx.ord) AS l FROM (SELECT page_id, {{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} AS bx FROM boxes_v) z GROUP BY page_id) y) k",
+)
 _add("region_merge", lambda s, d: layout.region_merge(views.boxes(s, d)))
 
 

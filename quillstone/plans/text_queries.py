@@ -171,8 +171,7 @@ _add(
     f"SELECT word, known, rank, round(s, 6) AS s FROM (SELECT *, {_rank} AS rank FROM (SELECT word, known, 1 - levenshtein(word, known) / greatest(length(word), length(known)) AS s FROM ({_WORDS}) w, ({_LIST}) k) x WHERE s >= 0.6) y WHERE rank <= 3",
 )
 _add("lm_correct", lambda s, d: views.candidates(s, d).select("image_id", "ord", T.lm_correct("text").alias("result")))
-_ONE_RULE = [("regex", r"\bthe\b", "The"), ("phrase", "of the", "of  the"), ("word", "and", "và"), ("word", "la", "là")]
-_add("vi_correct", lambda s, d: udf.correct(views.lines(s, d), _ONE_RULE).select("doc_id", "line_no", "corrected"))
+_add("vi_correct", lambda s, d: udf.correct(views.lines(s, d), views.rules()).select("doc_id", "line_no", "corrected"))
 _OLD_RULES = [("context", r"\bof\s+the\b", "of the"), ("error", "tion", "tions"), ("split", r"\b(in)(the)\b", r"\1 \2"), ("final", " and ", " & ")]
 _add("legacy_spell", lambda s, d: udf.correct_lines(views.docs(s, d), _OLD_RULES).select("doc_id", "corrected"))
 
@@ -221,4 +220,8 @@ _add(
     with_views("lines") + "SELECT doc_id, line_no, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= greatest(1, floor(count(*) OVER (PARTITION BY doc_id) * 0.9)) THEN 'train' ELSE 'val' END AS part FROM lines_v",
 )
 _add("synthetic_text", lambda s, d: labels.synthetic_text(s, 500))
-_add("cli_json", lambda s, d: views.candidates(s, d).select("image_id", "ord", pages.cli_json(F.col("text"), F.col("engine"), F.length("text") > 1).alias("json")))
+_add(
+    "cli_json",
+    lambda s, d: views.candidates(s, d).select("image_id", "ord", pages.cli_json(F.col("text"), F.col("engine"), F.length("text") > 1).alias("json")),
+    with_views("cands") + "SELECT image_id, ord, CAST(to_json({'text': text, 'source': engine, 'success': length(text) > 1}) AS VARCHAR) AS json FROM cands_v",
+)

@@ -108,6 +108,23 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ord", F.col("line_no") % 4)
 
 
+#: Parts of words of the texts, from which rules are made.
+PARTS = ["an", "and", "at", "ble", "con", "de", "ed", "ent", "er", "es", "ha", "he", "in", "ing", "la", "le", "ly", "nd", "nt", "on", "ou", "re", "sh", "st", "th", "the", "ti", "tion", "was", "wh"]
+
+
+def rules() -> list[tuple[str, str, str]]:
+    """About 600 rules as users keep them: patterns, phrases and words, with
+    chains (a rule's result is a later rule's pattern), overlaps (patterns
+    inside others) and ties (patterns of equal length)."""
+    n = len(PARTS)
+    words = [(PARTS[i] + PARTS[j], PARTS[j] + PARTS[(i + j) % n]) for i in range(n) for j in range(n) if (i + 2 * j) % 3 == 0 and i != j]
+    phrases = [(f"{PARTS[i]} {PARTS[(3 * i + k) % n]}", f"{PARTS[(3 * i + k) % n]}{PARTS[i]} {PARTS[k]}") for i in range(n) for k in range(5)]
+    patterns = [(rf"\b({p})({q})\b", rf"\2{p}") for p, q in zip(PARTS, PARTS[7:] + PARTS[:7])] + [(rf"{p}{p}+", p) for p in PARTS[::2]]
+    patterns += [(rf"\b{p}\s+{q}\b", f"{p}{q}") for p, q in zip(PARTS[1::2], PARTS[::2])]
+    made = [("word", *w) for w in words] + [("phrase", *p) for p in phrases] + [("regex", *r) for r in patterns]
+    return made
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("engine"), (F.col("value") / 1000).alias("confidence"))
 

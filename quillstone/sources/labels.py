@@ -25,13 +25,25 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def split_90_10(rows: DataFrame, order: str, key: str | None = None) -> DataFrame:
     """``part`` of each row: the first nine tenths, at least one row, are
-    ``train``, the others ``val``."""
-    keys = [key] if key else []
-    count = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(count, key) if key else rows.crossJoin(F.broadcast(count))  # one row
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    cut = F.greatest(F.lit(1), F.floor(F.col("n") * 0.9))
-    return rows.withColumn("part", F.when(place <= cut, "train").otherwise("val")).drop("n")
+    ``train``, the others ``val``.  Without a key the rows are cut into ranges
+    of ``order``, so that no task sorts them all; rows of equal ``order`` go
+    by their range's order."""
+    if key:
+        ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+        ranked = ranked.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    else:
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = rows.select(order).repartitionByRange(n, order).groupBy(F.spark_partition_id().alias("_p"))
+        least = [r[0] for r in tasks.agg(F.min(order).alias("m")).filter("m IS NOT NULL").orderBy("m").collect()]  # a value a range
+        cut = sum((F.coalesce((F.col(order) >= F.lit(x)).cast("int"), F.lit(0)) for x in least), F.lit(0))
+        ranged = rows.withColumn("_range", cut)
+        sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_held"))
+        whole = Window.partitionBy().orderBy("_range")  # a row a range
+        sizes = sizes.select("_range", (F.sum("_held").over(whole) - F.col("_held")).alias("_before"), F.sum("_held").over(Window.partitionBy()).alias("_n"))
+        ranged = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+        ranked = ranged.join(F.broadcast(sizes), "_range").withColumn("_place", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    last = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.9))
+    return ranked.withColumn("part", F.when(F.col("_place") <= last, "train").otherwise("val")).drop("_n", "_place")
 
 
 def synthetic_text(spark: SparkSession, n: int = 2000, least: int = 3, most: int = 12, seed: int = 1) -> DataFrame:

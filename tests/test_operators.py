@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import ctc, layout, pages, rules, tables, vote
+from quillstone.operators import convert, ctc, layout, pages, rules, tables, vote
 from quillstone.sources import labels
 
 CANDS = "image_id long, ord int, engine string, text string, confidence double"
@@ -288,3 +288,58 @@ def test_older_correction(spark):
     rules = [("context", r"mọi\s+thí\b", "mọi thứ"), ("error", "khăm", "khăn"), ("split", r"\b(xin)(hãy)\b", r"\1 \2"), ("final", "dung hoà", "dung hòa")]
     df = spark.createDataFrame([("mọi  thí KHĂM\n\n xinhãy thé\ndung  hoà",), (None,)], "text string")
     assert [r.corrected for r in udf.correct_lines(df, rules).collect()] == ["mọi thứ khăn\nxin hãy thế\ndung hòa", None]
+
+
+def test_split_without_a_key(spark):
+    """Ranges give the same split as one sorted task."""
+    for n in (1, 2, 9, 10, 57):
+        rows = spark.createDataFrame([((i * 37) % 101,) for i in range(n)], "k long").repartition(3)
+        got = sorted((r.k, r.part) for r in labels.split_90_10(rows, "k").collect())
+        assert [p for _, p in got] == ["train"] * max(1, n * 9 // 10) + ["val"] * (n - max(1, n * 9 // 10))
+    assert labels.split_90_10(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_converted_pages_keep_their_keys(spark):
+    """Pages are told apart by both ids, texts as ids included."""
+    rows = [(d, p, 0, 10.0, 10.0, 300.0, 21.0, f"text {d} {p}", 11.0, False) for d in ("a", "a:1", "1") for p in (0, 1, 10)]
+    lines = spark.createDataFrame(rows, "doc_id string, page_num long, ord long, x1 double, y1 double, x2 double, y2 double, text string, font_size double, is_bold boolean")
+    got = {(r.doc_id, r.page_num): r.text for r in convert.blocks(lines, None, 700.0).collect()}
+    assert got == {(d, p): f"text {d} {p}" for d, p, *_ in rows}
+
+
+def test_six_hundred_rules_are_a_plain_fold(spark):
+    """The gate and the compiled cascade change nothing, chains and ties included."""
+    import re
+    import unicodedata
+
+    from quillstone.functions import udf
+    from quillstone.plans import views
+
+    rules = views.rules()
+    assert len(rules) > 450
+    assert len({new for _, _, new in rules} & {pattern for _, pattern, _ in rules}) > 20  # chains
+
+    def plain(text):
+        text = unicodedata.normalize("NFC", text)
+        for kind in ("regex", "phrase", "word"):
+            own = [r for r in rules if r[0] == kind]
+            if kind != "regex":
+                own = sorted(own, key=lambda r: -len(r[1]))
+            for _, pattern, new in own:
+                if kind == "regex":
+                    text = re.sub(pattern, new, text, flags=re.IGNORECASE)
+                else:
+                    text = re.sub(r"\b" + re.escape(pattern) + r"\b", lambda m, new=new: new, text, flags=re.IGNORECASE)
+        text = re.sub(r"\s+", " ", text).strip()
+        text = re.sub(r"\s+([,.!?;:])", r"\1", text)
+        return re.sub(r"([,.!?;:])(?!\s|$)", r"\1 ", text)
+
+    lines = views.lines(spark, "/root/testdata/sf0.001").limit(300)
+    made = [(p, q) for _, p, q in rules if _ != "regex"]
+    extra = spark.createDataFrame([(-1, i, f"{p.upper()} ,x {q} {p}.{p}") for i, (p, q) in enumerate(made)], "doc_id long, line_no long, text string")
+    got = udf.correct(lines.union(extra), rules).collect()
+    changed = 0
+    for r in got:
+        assert r.corrected == plain(r.text)
+        changed += r.corrected != r.text
+    assert changed > len(made) // 2
