@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,106 @@ def test_mixture_finds_both_languages():
     assert got[1] == pytest.approx([0.6, 0, 0.4], abs=0.05)
 
 
+def brute_trigrams(text):
+    """Hashed trigrams of letters and gaps, one by one."""
+    from collections import Counter
+
+    m = 0xFFFFFFFF
+    c = [32, *[ord(x) if x.isalpha() and ord(x) < 0x10000 or ord(x) >= 0x10000 else 32 for x in text.lower()], 32]
+    out = Counter()
+    for a, b, d in zip(c, c[1:], c[2:]):
+        if b != 32 or a != 32 and d != 32:
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + d * 0xC2B2AE3D) & m
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & m
+            out[(h ^ h >> 13) & (langid.BINS - 1)] += 1
+    return out
+
+
+def brute_mixture(counts, table):
+    """Proportions by expectation-maximisation and the penalised choice, in plain loops."""
+    import math
+
+    n, k = sum(counts.values()), len(table)
+
+    def em(w):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * k
+            for b, c in counts.items():
+                p = sum(w[j] * table[j][b] for j in range(k)) + 1e-12
+                for j in range(k):
+                    new[j] += c * w[j] * table[j][b] / p
+            w = [x / n for x in new]
+        return w, sum(c * math.log(sum(w[j] * table[j][b] for j in range(k)) + 1e-12) for b, c in counts.items())
+
+    alone = [sum(c * math.log(t[b]) for b, c in counts.items()) for t in table]
+    first = max(range(k), key=lambda j: alone[j])
+    price = langid.PENALTY * math.log(max(n, 2))
+    full, _ = em([1 / k] * k)
+    order = sorted(range(k), key=lambda j: -(full[j] + 2 * (j == first)))
+    best, value = [float(j == first) for j in range(k)], alone[first] - price
+    for size in range(2, k + 1):
+        w, fit = em([1 / size if j in order[:size] else 0.0 for j in range(k)])
+        if fit - size * price <= value:
+            break
+        best, value = w, fit - size * price
+    return [x / sum(best) for x in best]
+
+
+def test_language_by_brute_force(spark):
+    """Counts, tables, mixtures and scores against plain loops."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    mixed = [(10_000 + i, rows[i].text[:400] + " " + rows[i + 50].text[:300], None) for i in range(10)]
+    docs = spark.createDataFrame([tuple(r) for r in rows] + mixed, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+    langs = sorted({r.lang for r in rows if r.lang and not held[r.doc_id]})
+    sums = {x: [langid.SMOOTH] * langid.BINS for x in langs}
+    for r in rows:
+        if r.lang and r.text and not held[r.doc_id]:
+            for b, c in brute_trigrams(r.text).items():
+                sums[r.lang][b] += c
+    table = [[v / sum(sums[x]) for v in sums[x]] for x in langs]
+    short = [(r.doc_id, r.text) for r in rows if r.text and len(r.text) < 1500][:25] + [m[:2] for m in mixed]
+    for i, t in short:
+        share = brute_mixture(brute_trigrams(t), table)
+        assert got[i].lang_pred == langs[max(range(len(langs)), key=lambda j: share[j])]
+        assert got[i].score == pytest.approx(max(share), abs=2e-3)
+
+
+def test_quality_by_brute_force(spark):
+    """Scores of all documents against one least-squares fit and the min-max
+    formula of isotonic regression."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(docs, labels).toPandas().set_index("doc_id")
+    fold = {r.doc_id: r.k for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS}) AS k").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(y)
+    x = np.array([quality.statistics(texts[i]) for i in ids])
+    kernel = quality.Kernel(x.mean(0), x.std(0))
+    z, target, k = kernel(x), np.array([float(y[i]) for i in ids]), np.array([fold[i] for i in ids])
+
+    def ridge(rows):
+        penalty = np.sqrt(np.append(np.full(z.shape[1] - 1, quality.RIDGE), 1e-9))
+        return np.linalg.lstsq(np.vstack([z[rows], np.diag(penalty)]), np.append(target[rows], np.zeros(z.shape[1])), rcond=None)[0]
+
+    honest = np.empty(len(ids))
+    for f in range(quality.FOLDS):
+        honest[k == f] = z[k == f] @ ridge(k != f)
+    steps = np.floor(np.clip(honest, -0.5, 1.5) * (quality.STEPS / 2))
+    bins = [(honest[steps == s].mean(), target[steps == s].mean(), (steps == s).sum()) for s in np.unique(steps)]
+    s, m, w = map(np.array, zip(*sorted(bins)))
+    n = len(s)
+    fitted = [max(min(np.average(m[a : b + 1], weights=w[a : b + 1]) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    pools = {}
+    for value, mean, weight in zip(np.round(fitted, 12), s, w):
+        pools.setdefault(value, []).append((mean, weight))
+    at = [np.average([p for p, _ in v], weights=[q for _, q in v]) for v in pools.values()]
+    every = kernel(np.array([quality.statistics(texts[i]) for i in got.index])) @ ridge(np.ones(len(ids), bool))
+    assert got.score.to_numpy() == pytest.approx(np.clip(np.interp(every, at, list(pools)), 0, 1), abs=1e-4)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
